@@ -6,6 +6,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ LISTED = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+\S")
 TOKEN = re.compile(r"#|[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\s\w]")
 NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
 BREAK = re.compile(r"(?<=[.!?;:])\s+|[\r\n]+")
+TOKEN_OR_BREAK = re.compile(r"\n|" + TOKEN.pattern)
+TAIL = re.compile(r"[ \t.!?:;\"*]+(?=\n|$)")
 
 # Answers that stand for nothing.
 NOTHING = {"", "null", "none", "nil", "nan", "na", "n a", "undefined", "unknown", "empty", "no answer", "no output", "no response", "not available", "not applicable", "tbd", "todo"}
@@ -39,7 +42,7 @@ REFUSAL = re.compile(
 )
 
 #: Buckets of the hashed n-gram tables; their size is fixed, so they may be broadcast.
-GRAMS, CONTEXTS = 1 << 15, 1 << 18
+GRAMS, CONTEXTS = 1 << 15, 1 << 22
 #: Least number of sightings for a context of the end-of-text model to be trusted.
 SEEN = 4
 
@@ -105,6 +108,8 @@ class Answer:
 
     def says_nothing(self) -> bool:
         """No word but stand-ins for nothing, once labels of sections without content are set aside."""
+        if sum(map(len, self.segments)) > 400 and len(WORD.findall(self.segments[0])) > 12:
+            return False
         said = []
         for i, x in enumerate(self.segments):
             last = i + 1 == len(self.segments)
@@ -156,14 +161,15 @@ def slots(row: dict) -> Iterator[tuple[str, str, object, object]]:
                 yield variant, model, held.get("assessment_plan_prompts"), slot.get("assessment_plan_raw")
 
 
-def copied_share(prompt: str, segments: list[str]) -> float:
-    """Share of the answer's distinct runs of three words that stand in the prompt."""
-    three = lambda w: set(zip(w, w[1:], w[2:]))
-    a = WORD.findall(" ".join(segments).lower())
-    if len(a) < 3:
-        return 0.0
-    own = three(a)
-    return len(own & three(WORD.findall(prompt.lower()))) / len(own)
+def triples(text: str) -> set[tuple[str, ...]]:
+    w = WORD.findall(text.lower())
+    return set(zip(w, w[1:], w[2:]))
+
+
+def copied_share(prompt: str | set, segments: list[str]) -> float:
+    """Share of the answer's distinct runs of three words that stand in the prompt (given as text or as its runs)."""
+    own = triples(" ".join(segments))
+    return len(own & (triples(prompt) if isinstance(prompt, str) else prompt)) / len(own) if own else 0.0
 
 
 # Language by naive Bayes over character n-grams within words.
@@ -177,56 +183,85 @@ def gram_slots(word: str) -> list[int]:
 
 
 class Languages:
-    """Naive Bayes over character 1- to 3-grams; words are scored once and kept."""
+    """Naive Bayes over character 1- to 3-grams; each word is scored once and kept as a row of a table."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.names = sorted(counts)
         table = np.array([counts[x] for x in self.names]) if counts else np.zeros((0, GRAMS))
         smooth = 2e-5 * table.sum(axis=1, keepdims=True) + 1e-3
         self.table = np.log((table + smooth) / (table.sum(axis=1, keepdims=True) + GRAMS * smooth))
-        self.known: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[word] = self.table[:, gram_slots(word)].sum(axis=1)
-        return found
+        self._reset()
+
+    def _reset(self) -> None:
+        self.rows: dict[str, int] = {"": 0}
+        self.scores = np.zeros((1024, len(self.names)))
+
+    def _row(self, word: str) -> int:
+        row = self.rows[word] = len(self.rows)
+        if row >= len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[row] = self.table[:, gram_slots(word)].sum(axis=1)
+        return row
+
+    def segment_posteriors(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(posterior of each language for each segment, its number of letters); n-grams overlap, so the likelihood is tempered by a third."""
+        if len(self.rows) > 300_000:
+            self._reset()
+        found = [LETTERS.findall(x.lower()) for x in segments]
+        rows = self.rows
+        at = np.array([0, *(rows[w] if w in rows else self._row(w) for f in found for w in f)])
+        ends = np.cumsum([0, *map(len, found)])
+        sums = np.concatenate([np.zeros((1, len(self.names))), np.cumsum(self.scores[at[1:]], axis=0)])
+        total = sums[ends[1:]] - sums[ends[:-1]]
+        p = np.exp((total - total.max(axis=1, initial=-1e300, keepdims=True)) / 3)
+        return p / p.sum(axis=1, keepdims=True), np.array([sum(map(len, f)) for f in found])
 
     def posterior(self, text: str) -> np.ndarray:
-        """Posterior of each language (n-grams overlap, so the likelihood is tempered by a third); even without words."""
-        total = np.zeros(len(self.names))
-        for w in LETTERS.findall(text.lower()):
-            total += self.word(w)
-        p = np.exp((total - total.max(initial=-np.inf)) / 3)
-        return p / p.sum()
+        return self.segment_posteriors([text])[0][0]
 
     def of_segments(self, segments: list[str]) -> np.ndarray:
         """Posteriors of the segments averaged by their letters, so that a quoted sentence doesn't outweigh the rest."""
-        total = np.zeros(len(self.names))
-        for x in segments:
-            n = sum(map(len, LETTERS.findall(x)))
-            if n:
-                total += n * self.posterior(x)
-        return total / total.sum() if total.sum() else total
+        p, letters = self.segment_posteriors(segments)
+        return (p * letters[:, None]).sum(axis=0) / max(1, letters.sum())
 
 
 # End of text by word n-grams.
 
 
-def end_contexts(tokens: list[str], i: int) -> list[int]:
-    """Hashed contexts of the place after tokens[i - 1], the longest first; the shorter ones also without the segment's opening."""
-    head, three, two, one = " ".join(tokens[:2]), " ".join(tokens[max(0, i - 3) : i]), " ".join(tokens[max(0, i - 2) : i]), tokens[i - 1]
-    keys = (f"a|{head}|{three}", f"b|{three}", f"c|{head}|{two}", f"d|{two}", f"e|{one}")
-    return [xxhash.xxh32_intdigest(k) % CONTEXTS for k in keys]
+@lru_cache(1 << 17)
+def token_number(token: str) -> int:
+    return xxhash.xxh64_intdigest(token) | 1
+
 
+LINE_END = np.uint64(token_number("\n"))
 
-def end_tokens(segment: str) -> list[str]:
-    tokens = TOKEN.findall(NUMBER.sub("#", segment.lower()))
-    while tokens and tokens[-1] in (".", "!", "?", ":", ";", '"', "*"):
-        tokens.pop()
-    return tokens
+
+def end_contexts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed contexts of the place after every token of the sentences in parts, and the rows of the sentences' ends.
+
+    A row has five contexts, the longest first: the sentence's first two tokens with the last three, the last
+    three, the first two with the last two, the last two, the last. Numbers are one token; full stops and
+    the like at a sentence's end are set aside. Sentences without a token are left out.
+    """
+    text = NUMBER.sub("#", BREAK.sub("\n", "\n".join(parts)).lower())
+    ids = np.fromiter(map(token_number, TOKEN_OR_BREAK.findall(TAIL.sub("", text) + "\n")), dtype=np.uint64)
+    stops = np.flatnonzero(ids == LINE_END)
+    length = np.diff(stops, prepend=-1) - 1
+    ids, length = ids[ids != LINE_END], length[length > 0]
+    if not len(ids):
+        return np.zeros((0, 5), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    ends = np.cumsum(length)
+    start = np.repeat(ends - length, length)
+    place = np.arange(len(ids)) - start
+    before = lambda k: np.where(place >= k, ids[np.maximum(np.arange(len(ids)) - k, 0)], np.uint64(0))
+    second = np.where(np.repeat(length, length) > 1, ids[np.minimum(start + 1, len(ids) - 1)], np.uint64(0))
+    m1, m2, m3, m4, m5 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+    one, two, three = ids * m1, before(1) * m2, before(2) * m3
+    head = ids[start] * m4 + second * m5
+    shift = np.uint64(64 - CONTEXTS.bit_length() + 1)
+    keys = [one + two + three + head + np.uint64(11), one + two + three + np.uint64(7), one + two + head + np.uint64(5), one + two + np.uint64(3), one + np.uint64(1)]
+    hashed = [((k ^ (k >> np.uint64(29))) * m1 >> shift).astype(np.int64) for k in keys]
+    return np.stack(hashed, axis=1), ends - 1
 
 
 def line_class(line: str) -> str:
@@ -235,81 +270,101 @@ def line_class(line: str) -> str:
     return "title" if line.rstrip().endswith((":", "**")) or line.lstrip().startswith("#") else "other"
 
 
+LINE_SLOTS = {x: CONTEXTS + i for i, x in enumerate(("number", "bullet", "title", "other"))}
+
+
+def last_segment(lines: list[str]) -> str:
+    return BREAK.split(lines[-1].strip())[-1] if lines else ""
+
+
 class EndCounts:
-    """Counts of how often a context, or a class of line, is followed by an end."""
-
-    def __init__(self) -> None:
-        self.cache: dict[str, list[int]] = {}
-        self.ends: Counter[int] = Counter()
-        self.seen: Counter[int] = Counter()
-
-    def add_line(self, line: str) -> None:
-        for part in BREAK.split(line):
-            tokens = end_tokens(part)
-            if not tokens:
-                continue
-            key = " ".join(tokens)
-            found = self.cache.get(key)
-            if found is None:
-                if len(self.cache) > 20_000:
-                    self.cache.clear()
-                found = self.cache[key] = [c for i in range(1, len(tokens) + 1) for c in set(end_contexts(tokens, i))]
-                self.cache[key + "\n"] = list(set(end_contexts(tokens, len(tokens))))
-            self.seen.update(found)
-            self.ends.update(self.cache[key + "\n"])
-
-    def add_answer(self, kind: str, lines: list[str]) -> None:
-        for x in lines:
-            self.add_line(x)
-        if kind == "text" and len(lines) > 1:
-            for i, x in enumerate(lines):
-                slot = xxhash.xxh32_intdigest("line|" + line_class(x)) % CONTEXTS
-                self.seen[slot] += 1
-                self.ends[slot] += i + 1 == len(lines)
-
-
-def cut_short(kind: str, lines: list[str], seen: np.ndarray, ends: np.ndarray, least: float = 0.04, least_line: float = 0.02) -> bool:
-    """Whether the end of a text is unlikely: of its last segment's longest known context, or of its last line's class."""
-    if kind != "text" or not lines:
-        return False
-    last = BREAK.split(lines[-1].strip())[-1]
-    if len(lines) > 1:
-        slot = xxhash.xxh32_intdigest("line|" + line_class(lines[-1])) % CONTEXTS
-        if seen[slot] >= SEEN and ends[slot] < least_line * seen[slot]:
-            return True
-    if re.search(r"[^\W\d_][.!?]['\")\]]?$", last):
-        return False
-    tokens = end_tokens(last)
-    if not tokens:
-        return False
-    for c in end_contexts(tokens, len(tokens)):
-        # The answer's own end was counted as well and says nothing about itself.
-        if seen[c] - 1 >= SEEN:
-            return ends[c] - 1 < least * (seen[c] - 1)
-    return True
+    """Counts of how often a context, or a class of line, is followed by an end.
+
+    wanted: the slots to be counted, those that end some answer; all others are looked up and dropped at once.
+    """
+
+    def __init__(self, wanted: np.ndarray):
+        self.wanted = wanted
+        self.index = np.full(CONTEXTS + len(LINE_SLOTS), -1, dtype=np.int32)
+        self.index[wanted] = np.arange(len(wanted), dtype=np.int32)
+        self.seen = np.zeros(len(wanted), dtype=np.int64)
+        self.ends = np.zeros(len(wanted), dtype=np.int64)
+
+    def _add(self, to: np.ndarray, slots_: np.ndarray) -> None:
+        at = self.index[slots_]
+        to += np.bincount(at[at >= 0], minlength=len(to))
+
+    def add_lines(self, lines: list[str]) -> None:
+        contexts, ends = end_contexts(lines)
+        self._add(self.seen, contexts.ravel())
+        self._add(self.ends, contexts[ends].ravel())
+
+    def add_classes(self, answers: list[list[str]]) -> None:
+        classes = [[LINE_SLOTS[line_class(x)] for x in lines] for lines in answers]
+        self._add(self.seen, np.array([c for x in classes for c in x], dtype=np.int64))
+        self._add(self.ends, np.array([x[-1] for x in classes], dtype=np.int64))
+
+
+class EndModel:
+    """The counts summed over everything, by slot."""
+
+    def __init__(self, wanted: np.ndarray, seen: np.ndarray, ends: np.ndarray):
+        order = np.argsort(wanted)
+        self.wanted, self.seen, self.ends = wanted[order], seen[order], ends[order]
+
+    def of(self, slot: int) -> tuple[int, int]:
+        """(seen, ends) of a slot."""
+        i = int(np.searchsorted(self.wanted, slot))
+        return (int(self.seen[i]), int(self.ends[i])) if i < len(self.wanted) and self.wanted[i] == slot else (0, 0)
+
+    def cut_short(self, kind: str, lines: list[str], least: float = 0.04, least_line: float = 0.02) -> bool:
+        """Whether the end of a text is unlikely: of its last segment's longest known context, or of its last line's class."""
+        if kind != "text" or not lines:
+            return False
+        if len(lines) > 1:
+            seen, ends = self.of(LINE_SLOTS[line_class(lines[-1])])
+            if seen >= SEEN and ends < least_line * seen:
+                return True
+        last = last_segment(lines)
+        if re.search(r"[^\W\d_][.!?]['\")\]]?$", last):
+            return False
+        contexts, at = end_contexts([last])
+        if not len(at):
+            return False
+        for c in contexts[at[0]].tolist():
+            seen, ends = self.of(c)
+            # The answer's own end was counted as well and says nothing about itself.
+            if seen - 1 >= SEEN:
+                return ends - 1 < least * (seen - 1)
+        return True
 
 
 # On Spark.
 
-SLOT_SCHEMA = "result_id bigint, variant string, model string, kind string, verdict string, copied double, opening string, lines array<string>"
+SLOT_SCHEMA = "result_id bigint, variant string, model string, kind string, verdict string, copied double, opening string, prompt string, lines array<string>"
 
 
 def analysed_slots(results: DataFrame) -> DataFrame:
-    """One row per completed slot: what can be said without statistics (empty, refusal, cut), the copied share, the prompt's opening and the answer's lines."""
+    """One row per completed slot: what can be said without statistics (empty, refusal, cut), the copied share, the prompt's opening, the prompt
+    (at its first slot in the row only) and the answer's lines."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split(" ")[0] for x in SLOT_SCHEMA.split(", ")]
         for batch in batches:
             rows = []
             for row in batch.to_dict("records"):
+                known: dict[str, set] = {}
                 for variant, model, prompt, raw in slots(row):
                     if raw is not None and not isinstance(raw, str):
                         raw = json.dumps(raw, ensure_ascii=False)
                     a = Answer(raw)
                     opening, whole = prompt_parts(prompt)
-                    share = copied_share(whole, a.segments)
+                    new = whole not in known
+                    if new:
+                        known[whole] = triples(whole)
+                    share = copied_share(known[whole], a.segments)
                     verdict = "empty" if a.says_nothing() else "copied" if share >= 0.5 else "refusal" if a.declines() else "cut" if a.cut else ""
-                    rows.append((row["result_id"], variant, model, a.kind, verdict, share, opening, a.segments))
+                    rows.append((row["result_id"], variant, model, a.kind, verdict, share, opening, whole if new else None, a.segments))
             yield pd.DataFrame(rows, columns=names)
 
     wanted = results.select("result_id", "status", "assessment_plan_prompts", "assessment_plan_raw", "variants")
@@ -317,14 +372,15 @@ def analysed_slots(results: DataFrame) -> DataFrame:
 
 
 def _counted(df: DataFrame, fill) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sums over all rows of hashed counts: fill(batch, {name: Counter}) adds to them; the tables have a fixed number of slots."""
+    """Sums over all rows of hashed counts: fill(batch, {name: array}) adds to them; the tables have a fixed number of slots."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = {}
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             fill(batch, held)
-        for name, counter in held.items():
-            yield pd.DataFrame({"name": name, "slot": list(counter), "n": list(counter.values())})
+        for name, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pd.DataFrame({"name": name, "slot": at, "n": counts[at]})
 
     sums = df.mapInPandas(parts, "name string, slot int, n bigint").groupBy("name", "slot").agg(F.sum("n").alias("n"))
     out: dict[str, list] = {}
@@ -343,21 +399,26 @@ def language_counts(documents: DataFrame, per_language: int = 200, most: int = 4
     chosen = hash_rank(keyed.drop("_h"), ["lang"], ["doc_id"]).filter(F.col("rank") <= per_language).select("doc_id", "lang")
     texts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
 
-    def fill(batch: pd.DataFrame, held: dict[str, Counter]) -> None:
+    def fill(batch: pd.DataFrame, held: dict[str, np.ndarray]) -> None:
+        counted: dict[str, Counter] = {}
         for lang, text in zip(batch["lang"], batch["text"]):
-            counter = held.setdefault(lang, Counter())
-            counter[-1] += 1
-            for w, n in Counter(LETTERS.findall(text.lower())).items():
-                for g in gram_slots(w):
-                    counter[g] += n
+            counted.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            held.setdefault(lang, np.zeros(GRAMS + 1))[GRAMS] += 1  # the last slot counts documents
+        for lang, words in counted.items():
+            add_grams(held[lang], words)
 
-    out = {}
+    tables = {}
     for lang, (slot, n) in _counted(texts, fill).items():
-        table = np.zeros(GRAMS)
-        table[slot[slot >= 0]] = n[slot >= 0]
-        if n[slot < 0].sum() >= 10:
-            out[lang] = table
-    return out
+        table = np.zeros(GRAMS + 1)
+        table[slot] = n
+        if table[GRAMS] >= 10:
+            tables[lang] = table[:GRAMS]
+    return tables
+
+
+def add_grams(table: np.ndarray, words: Counter) -> None:
+    for word, n in words.items():
+        np.add.at(table, gram_slots(word), n)
 
 
 def adapted(base: dict[str, np.ndarray], extra: dict[str, tuple[np.ndarray, np.ndarray]], weight: float = 1.0) -> dict[str, np.ndarray]:
@@ -387,38 +448,51 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
     base = language_counts(documents)
     first = found.sparkSession.sparkContext.broadcast(base)
 
-    def fill(batch: pd.DataFrame, held: dict[str, Counter]) -> None:
-        model, ends = Languages(first.value), EndCounts()
-        names = model.names
-        for kind, verdict, opening, lines in zip(batch["kind"], batch["verdict"], batch["opening"], batch["lines"]):
-            lines = list(lines)
-            if verdict in ("empty", "copied"):
-                continue
-            if names:
-                p = model.posterior(" ".join(lines))
-                if p.max() > 0.999:
-                    counter = held.setdefault("lang " + names[int(p.argmax())], Counter())
-                    for w in set(LETTERS.findall(" ".join(lines).lower())):
-                        counter.update(gram_slots(w))
+    def last(batch: pd.DataFrame, held: dict[str, np.ndarray]) -> None:
+        contexts, ends = end_contexts([last_segment(list(x)) for x in batch["lines"]])
+        held.setdefault("slots", np.zeros(CONTEXTS, dtype=np.int8))[contexts[ends].ravel()] = 1
+
+    ended = found.filter("kind = 'text' and verdict = '' and size(lines) > 0").select("lines")
+    slots_ = _counted(ended, last).get("slots", (np.zeros(0, dtype=np.int64),))[0]
+    needed = found.sparkSession.sparkContext.broadcast(np.concatenate([np.sort(slots_), list(LINE_SLOTS.values())]).astype(np.int64))
+
+    def fill(batch: pd.DataFrame, held: dict[str, np.ndarray]) -> None:
+        if "model" not in kept:
+            kept["model"], kept["ends"] = Languages(first.value), EndCounts(needed.value)
+        model, ends = kept["model"], kept["ends"]
+        sure: dict[str, Counter] = {}
+        counted, several = [], []
+        judged = [(k, list(x)) for k, v, x in zip(batch["kind"], batch["verdict"], batch["lines"]) if v not in ("empty", "copied") and len(x)]
+        for prompt in batch["prompt"]:
+            if prompt:
+                # The last sentence may be cut by the prompt's own limit.
+                counted += BREAK.split(prompt)[:-1]
+        posteriors = model.segment_posteriors([" ".join(x) for _, x in judged])[0] if model.names and judged else []
+        for p, (_, lines) in zip(posteriors, judged):
+            if p.max() > 0.999:
+                sure.setdefault(model.names[int(p.argmax())], Counter()).update({w for x in lines for w in LETTERS.findall(x.lower())})
+        for kind, lines in judged:
             if kind != "broken":
-                ends.add_answer(kind, lines)
-        held.setdefault("ends", Counter()).update(ends.ends)
-        held.setdefault("seen", Counter()).update(ends.seen)
-
-    counts = _counted(found.select("kind", "verdict", "opening", "lines"), fill)
-    prompts = _prompt_ends(results)
-    tables = {}
-    for name in ("seen", "ends"):
-        tables[name] = np.zeros(CONTEXTS, dtype=np.int64)
-        for source in (counts, prompts):
-            if name in source:
-                tables[name][source[name][0]] += source[name][1]
+                counted += lines
+            if kind == "text" and len(lines) > 1:
+                several.append(lines)
+        ends.add_lines(counted)
+        ends.add_classes(several)
+        for lang, words in sure.items():
+            add_grams(held.setdefault("lang " + lang, np.zeros(GRAMS)), words)
+        held["ends"], held["seen"] = ends.ends, ends.seen  # running sums of this task
+
+    kept: dict[str, object] = {}
+    counts = _counted(found.select("kind", "verdict", "prompt", "lines"), fill)
+    seen, ends = np.zeros(len(needed.value), dtype=np.int64), np.zeros(len(needed.value), dtype=np.int64)
+    for name, table in (("seen", seen), ("ends", ends)):
+        if name in counts:
+            table[counts[name][0]] = counts[name][1]
     languages = adapted(base, {k[5:]: v for k, v in counts.items() if k.startswith("lang ")})
-    fitted = found.sparkSession.sparkContext.broadcast((languages, tables["seen"], tables["ends"]))
+    fitted = found.sparkSession.sparkContext.broadcast((languages, needed.value, seen, ends))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        languages, seen, ends = fitted.value
-        model = Languages(languages)
+        model, ends = Languages(fitted.value[0]), EndModel(*fitted.value[1:])
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
@@ -433,30 +507,10 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
                         defect = "truncated"
                     elif other:
                         defect = "language"
-                    elif cut_short(r.kind, lines, seen, ends):
+                    elif ends.cut_short(r.kind, lines):
                         defect = "truncated"
                 if defect:
                     rows.append((r.result_id, r.variant, r.model, defect))
             yield pd.DataFrame(rows, columns=["result_id", "variant", "model", "defect"])
 
-    return found.mapInPandas(judge, "result_id bigint, variant string, model string, defect string").distinct()
-
-
-def _prompt_ends(results: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Ends of the sentences of the prompts, which answers quote."""
-
-    def fill(batch: pd.DataFrame, held: dict[str, Counter]) -> None:
-        ends = EndCounts()
-        for row in batch.to_dict("records"):
-            done = set()
-            for _, _, prompt, _ in slots(row):
-                whole = prompt_parts(prompt)[1]
-                if whole not in done:
-                    done.add(whole)
-                    # The last sentence may be cut by the prompt's own limit.
-                    for x in BREAK.split(whole)[:-1]:
-                        ends.add_line(x)
-        held.setdefault("ends", Counter()).update(ends.ends)
-        held.setdefault("seen", Counter()).update(ends.seen)
-
-    return _counted(results.select("status", "assessment_plan_prompts", "assessment_plan_raw", "variants"), fill)
+    return found.drop("prompt", "copied").mapInPandas(judge, "result_id bigint, variant string, model string, defect string").distinct()
