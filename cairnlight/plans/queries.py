@@ -1,25 +1,14 @@
-"""Queries of the core operators over the driver's tables, and their SQL."""
+"""All queries of the core with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from cairnlight.operators.shredding import ResultTables
-from cairnlight.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    items = ResultTables(table(spark, d, "results"), scores=False).plan_items()
-    return items.selectExpr("record as result_id", "variant", "model", "rank", "step").distinct()
+from cairnlight.plans import cohort, evaluation, knowledge, quality, relational, retrieval  # noqa: F401  (they register their queries)
+from cairnlight.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
