@@ -94,17 +94,18 @@ class MatchedSample:
         self.seats = divisor_seats(have, {c: p for c, (p, _) in plan.items()}, {c: m for c, (_, m) in plan.items()}, self.size)
         for c, (pct, floor) in sorted(plan.items()):
             need = max(floor, -(-pct * self.size // 100))
-            self.rows.append((c, pct, floor, have[c], need, self.seats[c], max(0, need - have[c])))
+            self.rows.append((c, pct, floor, have[c], need, max(0, need - have[c])))
         self.spark = records.sparkSession
 
     def report(self) -> DataFrame:
-        """One row per target: available, wanted, taken and short_by (how many records are missing to what is wanted)."""
-        schema = "condition string, target_pct int, min_rows int, available bigint, wanted bigint, taken bigint, short_by bigint"
-        return self.spark.createDataFrame(self.rows, schema)
+        """One row per target: available, wanted, taken (counted in the sample) and short_by (how many records are missing to what is wanted)."""
+        schema = "condition string, target_pct int, min_rows int, available bigint, wanted bigint, short_by bigint"
+        taken = self.sample().groupBy("condition").agg(F.count(F.lit(1)).alias("taken"))
+        return self.spark.createDataFrame(self.rows, schema).join(taken, "condition", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
     def sample(self) -> DataFrame:
         """The sampled records with their condition, the rank in it and the priority by which they were kept."""
-        seats = [(c, p, n) for (c, p, *_), n in zip(self.rows, (self.seats[r[0]] for r in self.rows))]
+        seats = [(c, p, self.seats[c]) for c, p, *_ in self.rows]
         quota = self.spark.createDataFrame(seats, "condition string, _pct int, _seats bigint")
         ranked = hash_rank(self.records.join(F.broadcast(quota), "condition"), ["condition"], ["id"], "rank", self.seed)
         return ranked.filter("rank <= _seats").select(
