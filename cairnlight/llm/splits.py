@@ -74,24 +74,34 @@ def closest_subset(sizes: dict[int, int], goal: int) -> dict[int, int]:
 def plan_splits(counts: dict[str, dict[int, int]], shares: dict[str, float]) -> list[tuple[str, int, str, int, int]]:
     """(stratum, size, split, first, last) ranks of persons: who goes where.
 
-    counts: persons by stratum and size. Of each multiplicity every split first gets its whole
-    part, rounded down; the few persons that remain are dealt by subset sums so that each split's
-    total comes closest to its goal. What one stratum misses is carried over to the next, so the
-    overall shares stay close as well. The last split takes what is left.
+    counts: persons by stratum and size. Of each size every split first gets its part, rounded down, of all
+    persons but a reserve that is large enough to make up for the largest person; the reserve is dealt by
+    subset sums so that each split's total comes closest to its goal. What one stratum misses is carried over to the next,
+    so the overall shares stay close as well. The last split takes what is left. Sizes above a million records
+    are compared in coarser units, so the bitsets stay small.
     """
     names, out = list(shares), []
     carry = dict.fromkeys(names, 0.0)
     for stratum in sorted(counts):
         sizes = dict(counts[stratum])
-        total = sum(s * n for s, n in sizes.items())
-        taken = {name: {s: int(n * shares[name]) for s, n in sizes.items()} for name in names}
+        total, largest = sum(s * n for s, n in sizes.items()), max(sizes)
+        unit = max(1, largest // 1_000_000)
+        dealt = {s: max(0, n - -(-2 * largest // s)) for s, n in sizes.items()}
+        taken = {name: {s: int(n * shares[name]) for s, n in dealt.items()} for name in names}
         left = {s: n - sum(taken[name][s] for name in names) for s, n in sizes.items()}
         for name in names[:-1]:
             goal = shares[name] * total + carry[name]
-            more = closest_subset(left, round(goal - sum(s * k for s, k in taken[name].items())))
-            for s, k in more.items():
-                taken[name][s] += k
-                left[s] -= k
+            coarse: dict[int, list[int]] = {}
+            for s in sorted(left):
+                coarse.setdefault(max(1, round(s / unit)), []).append(s)
+            wanted = goal - sum(s * k for s, k in taken[name].items())
+            more = closest_subset({c: sum(left[s] for s in group) for c, group in coarse.items()}, round(wanted / unit))
+            for c, k in more.items():
+                for s in coarse[c]:
+                    now = min(k, left[s])
+                    taken[name][s] += now
+                    left[s] -= now
+                    k -= now
             carry[name] = goal - sum(s * k for s, k in taken[name].items())
         for s, k in left.items():
             taken[names[-1]][s] += k

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from cairnlight.llm.chunking import cut_oversized, cut_text
 from cairnlight.llm.forms import LOOK_ALIKES, canonical_texts, one_form, same_look_pairs
-from cairnlight.llm.overlap import _packed, _unpacked, cosine_join, cross_split_overlaps, overlap_report, runs, vectors
+from cairnlight.llm.overlap import _packed, _unpacked, containment_join, cross_split_overlaps, hashed_runs, overlap_report, runs, vectors
 
 NOTE = "PATIENT\n- one, two\n\nCOMPLAINT\nFirst sentence here. Second sentence is longer! Third?\n\n## Plan\n1. do this\n2. do that\n\n" + "X" * 90 + "\n\nEND\nlast words of the note"
 
@@ -106,11 +106,19 @@ def test_packing_of_terms():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 1 << 20, n)) for n in (1, 0, 300, 5)] + [np.array([0]), np.array([(1 << 20) - 1])]
-    terms, counts = _unpacked([_packed(x) for x in sets])
+    sets = [np.unique(rng.integers(0, 1 << 20, n)) for n in (1, 0, 300, 5)] + [np.array([0]), np.array([(1 << 20) - 1]), np.zeros(0, dtype=np.int64)]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    terms, counts = _unpacked(_packed(owner, np.concatenate(sets).astype(np.int64), len(sets)))
     assert counts.tolist() == [len(x) for x in sets] and terms.tolist() == [v for x in sets for v in x]
 
 
+def test_hashed_runs_count_distinct_runs():
+    texts = ["a b c d a b c", "", "x", "a b", "A, b; C!", " ".join(["w"] * 9)]
+    count, distinct, owner, _ = hashed_runs(texts, 3)
+    assert count.tolist() == [runs(t, 3)[0] for t in texts] and distinct.tolist() == [len(runs(t, 3)[1]) for t in texts]
+    assert sorted(set(owner.tolist())) == [0, 4, 5]
+
+
 def test_overlaps_against_all_pairs(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(25)]
@@ -132,13 +140,15 @@ def test_overlaps_against_all_pairs(spark):
     assert cross_split_overlaps(q.limit(0), s).count() == 0 and cross_split_overlaps(q, s.limit(0)).count() == 0
 
 
-def test_cosine_join_finds_all(spark):
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_join_finds_all(spark, threshold):
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(12)]
-    texts = [(f"d{i}", t) for i, t in enumerate(make_texts(rng, 40, words))] + [("e", " ".join(["w1", "w2"] * 30))]
+    words = [f"w{i}" for i in range(9)]
+    texts = [(f"d{i}", t) for i, t in enumerate(make_texts(rng, 40, words))] + [("e", " ".join(["w1", "w2"] * 30)), ("f", "w1 w2")]
     df = spark.createDataFrame(texts, "id string, text string")
-    v = vectors(df, "id", "text", 2, 0, "vector")
-    got = {tuple(r) for r in cosine_join(v, v, 0.6, "cosine", slices=2).collect()}
+    v = vectors(df, "id", "text", 2, 0)
+    key = {r[0]: r[1] for r in df.selectExpr("xxhash64(id)", "id").collect()}
+    got = {(key[r.query], key[r.stored]) for r in containment_join(v, v, threshold, slices=2).collect()}
     sets = {k: runs(t, 2)[1] for k, t in texts}
-    want = {(a, b) for a in sets for b in sets if len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5 >= 0.6}
-    assert want <= got and len(got) < len(sets) ** 2
+    want = {(a, b) for a in sets for b in sets if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a])}
+    assert want <= got
