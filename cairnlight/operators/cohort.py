@@ -97,7 +97,9 @@ def nearest_controls(positives: DataFrame, others: DataFrame, key: str, group: s
                 out.append((x[1], k))
         return pd.DataFrame(out, columns=["control", "positive"])
 
-    return positives.groupBy(group).cogroup(others.groupBy(group)).applyInPandas(fold, "control string, positive string")
+    # Both sides may come from one table: fresh columns keep them apart.
+    left_side, right_side = (x.select(key, group, value).toDF(key, group, value) for x in (positives, others))
+    return left_side.groupBy(group).cogroup(right_side.groupBy(group)).applyInPandas(fold, "control string, positive string")
 
 
 def contingency(features: DataFrame, cases: DataFrame, key: str, feature: str, positive: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlight.functions.text import tokens
-from cairnlight.functions.vectors import cosine, mean_vector
+from cairnlight.functions.vectors import cosine, mean_vector, norm
 
 
 def dense_top_k(vectors: DataFrame, query: list[float], k: int, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -20,45 +20,65 @@ def dense_top_k(vectors: DataFrame, query: list[float], k: int, id_column: str =
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
-def dense_top_k_many(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """(query_id, id, score): k nearest by cosine for each of a bounded set of queries, against all rows in blocks.
+def dense_top_k_many(
+    vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", slices: int | None = None
+) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest by cosine of each query against all rows; ties by id.
 
-    Queries of at most `block` rows a time are sent to every task, which keeps k rows per query; the rest is a small merge.
+    The stored side is cut into slices of at most 200,000 rows, one task holds one of them as a matrix and all queries
+    pass by in batches; each slice gives k rows per query, and a window over these finds the best. Null vectors and vectors
+    without length have no cosine and are left out. Nothing goes through the driver.
     """
-    found = None
-    rows = [(r[id_column], list(r[vector])) for r in queries.orderBy(id_column).toLocalIterator()]
-    schema = f"query_id {queries.schema[id_column].dataType.simpleString()}, {id_column} {vectors.schema[id_column].dataType.simpleString()}, score double"
-    for at in range(0, max(1, len(rows)), block):
-        part = rows[at : at + block]
-        names = [x for x, _ in part]
-        matrix = np.array([v for _, v in part], dtype=np.float64).reshape(len(part), -1)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def scan(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            best: dict = {}
-            for pdf in batches:
-                m = np.array(pdf[vector].tolist(), dtype=np.float64)
-                if not len(m) or not len(names):
+    slices = slices or max(12, -(-vectors.count() // 200_000))
+    usable = lambda df: df.filter(F.col(vector).isNotNull() & (norm(F.col(vector)) > 0))
+    kind = vectors.schema[id_column].dataType.simpleString()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, held, matrix = -1, [], [], None
+        for whole in batches:
+            for part, pdf in whole.groupby("slice", sort=True):
+                if part != at:
+                    at, ids, held, matrix = part, [], [], None
+                mine, asked = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+                ids += mine["id"].tolist()
+                held += mine["v"].tolist()
+                if asked.empty or not ids:
                     continue
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                scores = matrix @ m.T
-                ids = pdf[id_column].to_numpy()
-                top = np.argpartition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, : k + 1]
-                for i, cols in enumerate(top):
-                    best[i] = sorted(best.get(i, []) + [(-scores[i, j], ids[j]) for j in cols])[:k]
-            yield pd.DataFrame([(names[i], x, -s) for i, v in best.items() for s, x in v], columns=["query_id", id_column, "score"])
-
-        one = vectors.select(id_column, vector).mapInPandas(scan, schema)
-        found = one if found is None else found.unionByName(one)
+                if matrix is None:
+                    names = np.array(ids, dtype=object)
+                    order = np.argsort(names, kind="stable")
+                    names, matrix, held = names[order], np.array(held, dtype=np.float64)[order], []
+                    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+                q = np.array(asked["v"].tolist(), dtype=np.float64)
+                q /= np.linalg.norm(q, axis=1, keepdims=True)
+                found_q, found_i, found_s = [], [], []
+                for name, scores in zip(asked["id"], q @ matrix.T):
+                    # Ids are in order, so a stable sort of the rows at or above the k-th score breaks ties by id.
+                    floor = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
+                    best = np.flatnonzero(scores >= floor)
+                    best = best[np.argsort(-scores[best], kind="stable")][:k]
+                    found_q += [name] * len(best)
+                    found_i += names[best].tolist()
+                    found_s += scores[best].tolist()
+                yield pd.DataFrame({"query_id": found_q, id_column: found_i, "score": found_s})
+
+    sent = usable(queries).select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(1).alias("side"), F.col(id_column).alias("id"), F.col(vector).alias("v"))
+    kept = usable(vectors).select(F.pmod(F.xxhash64(id_column), F.lit(slices)).cast("int").alias("slice"), F.lit(0).alias("side"), F.col(id_column).alias("id"), F.col(vector).alias("v"))
+    placed = sent.unionByName(kept).repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "side")
+    found = placed.mapInPandas(scan, f"query_id {kind}, {id_column} {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_column)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def occurrences(tokens_: Column, word: str) -> Column:
+    return F.size(F.filter(tokens_, lambda x: x == word))
+
+
 def bm25(docs: DataFrame, id_column: str, text: str, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, score) of every document: Okapi BM25 of the query words over lower-case tokens, one pass for the statistics and one for the scores."""
     words = sorted({w.lower() for w in query})
     toks = tokens(text)
-    rows = docs.select(id_column, F.size(toks).alias("len"), *[F.size(F.filter(toks, lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(words)])
+    rows = docs.select(id_column, F.size(toks).alias("len"), *[occurrences(toks, w).alias(f"tf{i}") for i, w in enumerate(words)])
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(words))])
     scored = rows.join(F.broadcast(stats))  # one row
     score: Column = F.lit(0.0)

@@ -130,7 +130,8 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT user_id, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(*) / greatest(1, date_diff('second', min(ts), max(ts))) AS rate FROM events GROUP BY user_id)
     SELECT user_id, round(p50, 6) AS p50, round(p95, 6) AS p95, round(rate, 8) AS rate FROM p""")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    seconds = F.timestampdiff("SECOND", F.date_trunc("second", F.min("ts")), F.date_trunc("second", F.max("ts")))
+    second = lambda c: F.date_trunc("second", c).cast("timestamp").cast("bigint")
+    seconds = second(F.max("ts")) - second(F.min("ts"))
     return table(spark, d, "events").groupBy("user_id").agg(
         F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"),
         F.round(F.count(F.lit(1)) / F.greatest(F.lit(1), seconds), 8).alias("rate"),
