@@ -45,7 +45,11 @@ def repaired_object(text: str | None) -> str | None:
     if not text or "{" not in text:
         return None
     body = re.sub(r"```\w*", "", text[text.index("{") :])
-    for candidate in (body, body[: body.rfind("}") + 1]):
+    try:
+        whole = body[: json.JSONDecoder().raw_decode(body)[1]]  # the object, if text follows it
+    except (ValueError, RecursionError):
+        whole = ""
+    for candidate in (body, whole, body[: body.rfind("}") + 1]):
         if (found := strict_object(candidate)) is not None:
             return found
     body = re.sub(r",\s*([}\]])", r"\1", re.sub(r"//[^\n\"]*$", "", body, flags=re.M)).rstrip()

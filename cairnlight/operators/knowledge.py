@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlight.operators.components import connected_components
+from cairnlight.operators.ranking import global_rank
 from cairnlight.session import written
 
 
@@ -58,9 +59,9 @@ def pmi_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def rank_fusion(edges: DataFrame, first: str, second: str, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two columns, largest first, ties share the smallest rank. Both ranks need a total order of all rows."""
-    r = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
-    return edges.withColumn("weight", 1 / (k + r(first)) + 1 / (k + r(second)))
+    """Reciprocal rank fusion of two columns, largest first, ties share the smallest rank."""
+    ranked = global_rank(global_rank(edges, first, "_r1"), second, "_r2")
+    return ranked.withColumn("weight", 1 / (k + F.col("_r1")) + 1 / (k + F.col("_r2"))).drop("_r1", "_r2")
 
 
 def pruned(nodes: DataFrame, edges: DataFrame, min_frequency: int = 2, min_degree: int = 1, percentile: float = 0.4, remove_ego: bool = True) -> DataFrame:

@@ -61,3 +61,29 @@ def running_total(
         .withColumn(total, F.col("_sum") + F.col("_before"))
         .drop("_bucket", "_key", "_sum", "_before")
     )
+
+
+def global_rank(df: DataFrame, value: str, rank: str, order: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """1-based rank of all rows by a numeric value, largest first, without one task that sorts them all.
+
+    Without order, equal values share the smallest rank: rows are counted per value first, so a frequent value is one row.
+    With order, rows are numbered, ties by its columns. Values are cut into buckets at approximate quantiles; the
+    cut needs no accuracy, since buckets are monotone in the value and their sizes are counted. Null values come last.
+    """
+    probabilities = [i / buckets for i in range(1, buckets)]
+    known = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))
+    bounds = sorted(set(df.select(known.alias("_v")).approxQuantile("_v", probabilities, 0.01)), reverse=True)
+    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    keyed = df.withColumn("_v", known).withColumn("_b", F.size(F.filter(edges, lambda b: b > F.col("_v"))))
+    rows = keyed if order is not None else keyed.groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    size = F.count(F.lit(1)) if order is not None else F.sum("_n")
+    counts = rows.groupBy("_b").agg(size.alias("_c"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_b").orderBy(F.desc("_v"), *(order or []))
+    if order is not None:
+        ranked = rows.withColumn("_i", F.row_number().over(inside))
+        return ranked.join(offsets, "_b").withColumn(rank, (F.col("_i") + F.col("_o")).cast("bigint")).drop("_b", "_v", "_i", "_o")
+    upto = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = rows.withColumn("_i", upto).join(offsets, "_b").select("_b", "_v", (F.col("_i") + F.col("_o") + 1).cast("bigint").alias(rank))
+    return keyed.join(values, ["_b", "_v"]).drop("_b", "_v")

@@ -267,14 +267,14 @@ def quality_date_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH x AS (SELECT patient, {day_sql('date')} AS d, try_cast(value AS DOUBLE) AS v FROM observations WHERE code = '9278-6' AND patient IS NOT NULL)
-    SELECT patient, round(regr_slope(v, d - DATE '2000-01-01') * 365.25, 4) AS slope, CASE WHEN regr_slope(v, d - DATE '2000-01-01') * 365.25 > 1 THEN 'rising'
+    SELECT patient, round(regr_slope(v, d - DATE '2000-01-01') * 365.25, 6) AS slope, CASE WHEN regr_slope(v, d - DATE '2000-01-01') * 365.25 > 1 THEN 'rising'
         WHEN regr_slope(v, d - DATE '2000-01-01') * 365.25 < -1 THEN 'falling' ELSE 'stable' END AS trend
     FROM x WHERE v IS NOT NULL AND d IS NOT NULL GROUP BY patient HAVING count(DISTINCT d) > 1""")
 def review_slopes(spark: SparkSession, d: str) -> DataFrame:
     rows = observations(spark, d).filter("code = '9278-6' and patient is not null").select("patient", local_date("date").alias("d"), F.col("value").try_cast("double").alias("v"))
     rows = rows.filter("d is not null and v is not null").withColumn("x", F.datediff("d", F.lit("2000-01-01")).cast("double"))
     s = rows.groupBy("patient").agg((F.regr_slope("v", "x") * 365.25).alias("s"), F.countDistinct("d").alias("n")).filter("n > 1")
-    return s.select("patient", F.round("s", 4).alias("slope"), F.when(F.col("s") > 1, "rising").when(F.col("s") < -1, "falling").otherwise("stable").alias("trend"))
+    return s.select("patient", F.round("s", 6).alias("slope"), F.when(F.col("s") > 1, "rising").when(F.col("s") < -1, "falling").otherwise("stable").alias("trend"))
 
 
 @query(f"""WITH {CUTOFFS} , r AS (SELECT o.patient, code, {day_sql('date')} AS d, value FROM observations o JOIN cutoffs c ON c.patient = o.patient WHERE {day_sql('date')} < cutoff)

@@ -127,6 +127,40 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return totals.groupBy("arm").agg(q.alias("q")).select("arm", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+@query()
+def results_table(spark: SparkSession, d: str) -> DataFrame:
+    """The main table: per arm the mean with its resampled interval, the difference to the baseline, t and Holm's p; an arm without pairs keeps its row."""
+    means = scored(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
+    tests = paired_holm(spark, d).select("arm", F.col("t"), "p_holm", "status")
+    gain = paired(spark, d).groupBy("arm").agg(F.avg("diff").alias("gain"))
+    return means.join(cluster_bootstrap(spark, d), "arm", "left").join(gain, "arm", "left").join(tests, "arm", "left")
+
+
+@query("""WITH g AS (SELECT user_id % 3 AS bin, event_type AS arm, avg(value / (1 + value)) AS m, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT bin, max(CASE WHEN arm = 'view' THEN m END) AS base FROM g GROUP BY bin)
+    SELECT arm, round(avg(m - base), 6) AS equal_mean, count(*) AS groups FROM g JOIN w USING (bin) WHERE arm <> 'view' GROUP BY arm HAVING count(*) = 3""")
+def equal_group_gain(spark: SparkSession, d: str) -> DataFrame:
+    """Mean gain with every group counting the same; only arms that all groups have."""
+    g = scored(spark, d).groupBy((F.col("user_id") % 3).alias("bin"), "arm").agg(F.avg("score").alias("m"))
+    w = g.groupBy("bin").agg(F.max(F.when(F.col("arm") == "view", F.col("m"))).alias("base"))
+    rows = g.join(w, "bin").filter("arm <> 'view'").groupBy("arm").agg(F.round(F.avg(F.col("m") - F.col("base")), 6).alias("equal_mean"), F.count(F.lit(1)).alias("groups"))
+    return rows.filter("groups = 3")
+
+
+@query("""WITH u AS (SELECT user_id, user_id % 2 AS side, avg(value / (1 + value)) AS m, count(*) AS n, sum(value / (1 + value)) AS s FROM events GROUP BY user_id), t AS (SELECT side, sum(n) AS n, sum(s) / sum(n) AS m FROM u GROUP BY side),
+    v AS (SELECT u.side, sum((s - u.n * t.m) * (s - u.n * t.m)) / (any_value(t.n) * any_value(t.n)) AS v FROM u JOIN t ON t.side = u.side GROUP BY u.side), g AS (SELECT count(*) AS g, sum(n) AS nn FROM u)
+    SELECT round(a.m - b.m, 6) AS difference, round((a.m - b.m) / sqrt((va.v + vb.v) * g / (g - 1) * (nn - 1) / (nn - 2)), 4) AS t, g - 1 AS df FROM t a, t b, v va, v vb, g WHERE a.side = 1 AND b.side = 0 AND va.side = 1 AND vb.side = 0""")
+def two_group_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Difference of two groups of users with the clustered variance of a regression on the group (its small-sample factor included)."""
+    u = scored(spark, d).groupBy("user_id").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n")).withColumn("side", F.col("user_id") % 2)
+    side = u.groupBy("side").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("n")).alias("sn"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("g"))
+    m = F.col("s") / F.col("n")
+    side = side.withColumn("m", m).withColumn("v", (F.col("ss") - 2 * m * F.col("sn") + m * m * F.col("nn")) / (F.col("n") * F.col("n")))
+    sign = F.when(F.col("side") == 1, 1).otherwise(-1)
+    both = side.agg(F.sum(sign * F.col("m")).alias("d"), F.sum("v").alias("v"), F.sum("g").alias("g"), F.sum("n").alias("n"))
+    t = F.col("d") / F.sqrt(F.col("v") * F.col("g") / (F.col("g") - 1) * (F.col("n") - 1) / (F.col("n") - 2))
+    return both.select(F.round("d", 6).alias("difference"), F.round(t, 4).alias("t"), (F.col("g") - 1).alias("df"))
+
+
 @query("""WITH p AS (SELECT user_id, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(*) / greatest(1, date_diff('second', min(ts), max(ts))) AS rate FROM events GROUP BY user_id)
     SELECT user_id, round(p50, 6) AS p50, round(p95, 6) AS p95, round(rate, 8) AS rate FROM p""")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:

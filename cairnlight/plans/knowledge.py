@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlight.functions.text import estimated_tokens, joined_id, sentences, token_chunks, tokens
 from cairnlight.operators import knowledge as K
 from cairnlight.operators.components import connected_components
+from cairnlight.operators.ranking import global_rank
 from cairnlight.plans.registry import query
 from cairnlight.session import table, written
 
@@ -90,7 +91,7 @@ def graph_pmi(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PMI}, p AS (SELECT source, target, round(weight, 6) AS w FROM pmi) SELECT source, target, round(2.0 / (60 + rank() OVER (ORDER BY w DESC)), 8) AS weight FROM p")
 def graph_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Both ranks read the weight that PMI has already replaced, as in the reference's pipeline."""
-    p = graph_pmi(spark, d)
+    p = written(graph_pmi(spark, d))
     return K.rank_fusion(p, "weight", "weight").select("source", "target", F.round("weight", 8).alias("weight"))
 
 
@@ -270,5 +271,6 @@ def community_weight(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EDGES}, d AS (SELECT source, target, weight, row_number() OVER (ORDER BY weight DESC, source, target) - 1 AS human_readable_id FROM edges) SELECT * FROM d""")
 def graph_row_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    """Ordinals of the finished edge table: one total order, so the last step is one task over the (aggregated) edges."""
-    return edges(spark, d).withColumn("human_readable_id", F.row_number().over(Window.orderBy(F.desc("weight"), "source", "target")) - 1)
+    """Ordinals of the finished edge table, by weight, then by its ends."""
+    ranked = global_rank(written(edges(spark, d)), "weight", "k", ["source", "target"])
+    return ranked.select("source", "target", "weight", (F.col("k") - 1).alias("human_readable_id"))

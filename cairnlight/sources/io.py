@@ -13,10 +13,11 @@ from cairnlight.functions.text import joined_id
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV with a header, every value a string as it stands; a byte order mark is dropped; an empty value stays an empty text."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("emptyValue", "").option("nullValue", "\u0000").option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(path)
+    rows = reader.csv(path)
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
 
 
 def write_csv_text(df: DataFrame, path: str, one_file: bool = False) -> None:

@@ -170,3 +170,34 @@ def test_scorer_faults_are_isolated(spark):
     df = spark.createDataFrame([(1, "ok", "r"), (2, "bad", "r")], "id int, a string, b string")
     got = {r.id: (r.score, r.status) for r in metrics.scored_pairs(df, "id", "a", "b", scorer).collect()}
     assert got == {1: (2.0, "scored"), 2: (None, "error: ValueError")}
+
+
+def test_global_rank(spark):
+    from cairnlight.operators.ranking import global_rank
+
+    rng = random.Random(0)
+    values = [rng.choice([1.0, 2.0, 5.5, None, rng.random()]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
+    plain = sorted(((-1e300 if v is None else v), i) for i, v in enumerate(values))
+    plain = sorted(plain, key=lambda x: (-x[0], x[1]))
+    got = {r.id: r["k"] for r in global_rank(df, "v", "k", ["id"], 16).collect()}
+    assert got == {i: n for n, (_, i) in enumerate(plain, 1)}
+    first = {}
+    for n, (v, _) in enumerate(plain, 1):
+        first.setdefault(v, n)
+    got = {r.id: r["k"] for r in global_rank(df, "v", "k", None, 16).collect()}
+    assert got == {i: first[-1e300 if v is None else v] for i, v in enumerate(values)}
+    assert global_rank(df.limit(0), "v", "k").count() == 0
+
+
+def test_samples(spark):
+    from cairnlight.operators.sampling import cohort_sample, quota_sample
+
+    df = spark.createDataFrame([(f"k{i}", f"g{i % 2}") for i in range(40)], "k string, g string")
+    a = [r.k for r in cohort_sample(df, "k", 7).collect()]
+    assert len(set(a)) == 7 and a == [r.k for r in cohort_sample(df, "k", 7).collect()]
+    before = spark.createDataFrame([("k0",), ("k2",), ("gone",)], "k string")
+    quotas = spark.createDataFrame([("g0", 5), ("g1", 1), ("g2", 3)], "g string, quota int")
+    got = quota_sample(df, "k", "g", quotas, before).collect()
+    assert sorted(r.k for r in got if r.kept == "before") == ["k0", "k2"]
+    assert sum(r.g == "g0" for r in got) == 5 and sum(r.g == "g1" for r in got) == 1
