@@ -138,7 +138,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    condition = r"nullif(lower(regexp_replace(condition, '^\s+|\s+$', '', 'g')), '')"
+    condition = r"lower(regexp_replace(condition, '^\s+|\s+$', '', 'g'))"
     return {
         "p1_found": rf"""
             WITH labels AS (SELECT id, min({condition}) AS c FROM test_labels WHERE {condition} IS NOT NULL GROUP BY id),

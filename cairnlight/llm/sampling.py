@@ -9,9 +9,9 @@ from cairnlight.operators.ranking import hash_rank
 
 
 def normal_condition(column: str | Column) -> Column:
-    """Lower case, without white space (of any Unicode kind) around it; blank becomes null."""
+    """Lower case, without white space (of any Unicode kind) around it; null stays null, blank becomes empty."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.nullif(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
+    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def divisor_seats(available: dict[str, int], shares: dict[str, float], floors: dict[str, int], size: int) -> dict[str, int]:
@@ -52,7 +52,7 @@ def divisor_seats(available: dict[str, int], shares: dict[str, float], floors: d
 def eligible_records(test: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, condition): test ids with a subjective that isn't blank and a label with a condition, once each.
 
-    Ids with several conditions keep the smallest; null ids are left out; columns of the two
+    Ids with several conditions keep the smallest; a blank condition is one of its own; null ids are left out; columns of the two
     tables with the same names don't clash, only id, subjective and condition are read.
     """
     usable = test.filter(F.col("id").isNotNull() & F.col("subjective").rlike(r"(?U)\S")).select("id").distinct()
