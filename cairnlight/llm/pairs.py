@@ -38,7 +38,7 @@ REFUSAL = re.compile(
     r"|\b(?:can(?:not| not|'t)?|could) be (?:offered|given|provided)\b|\b(?:against|outside|beyond|within) (?:my|what|the scope)\b|\boff limits\b|\bnot (?:something|within what|mine) i?\b|\bnot my place\b"
     r"|\b(?:no|nothing) (?:\w+ ){0,3}can be (?:offered|given|provided|shared|said)\b|\bhave to (?:skip|leave|pass|turn)\b|\bmy apologies\b|\bas (?:an? )?(?:ai|language model|assistant|software)\b|\bbeing (?:an? )?(?:ai|language model|assistant|software)\b"
     r"|\b(?:consult|contact|see|speak to|talk to|ask) (?:a|an|your) (?:own )?(?:qualified |medical )?(?:doctor|clinician|professional|clinic|physician)\b"
-    r"|\blo siento\b|\bno puedo\b|\bje ne peux pas\b|\bdésolée?\b|\bich kann (?:nicht|keine|hier)\b|\btut mir leid\b|\bnão posso\b|\blamento\b|\bне могу\b|\bδεν μπορώ\b"
+    r"|\blo siento\b|\bno (?:me es posible|puedo|debo|estoy en condiciones)\b|\bconsulte a (?:su|un)\b|\bprefiero no\b|\bdebo (?:declinar|rechazar)\b|\bje ne peux pas\b|\bdésolée?\b|\bich kann (?:nicht|keine|hier)\b|\btut mir leid\b|\bnão posso\b|\blamento\b|\bне могу\b|\bδεν μπορώ\b"
 )
 
 #: Buckets of the hashed n-gram tables; their size is fixed, so they may be broadcast.
@@ -239,7 +239,7 @@ LINE_END = np.uint64(token_number("\n"))
 def end_contexts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed contexts of the place after every token of the sentences in parts, and the rows of the sentences' ends.
 
-    A row has five contexts, the longest first: the sentence's first two tokens with the last three, the last
+    A row has five contexts, each in two tables with hashes of their own, the longest first: the sentence's first two tokens with the last three, the last
     three, the first two with the last two, the last two, the last. Numbers are one token; full stops and
     the like at a sentence's end are set aside. Sentences without a token are left out.
     """
@@ -249,7 +249,7 @@ def end_contexts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(stops, prepend=-1) - 1
     ids, length = ids[ids != LINE_END], length[length > 0]
     if not len(ids):
-        return np.zeros((0, 5), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros((0, 10), dtype=np.int64), np.zeros(0, dtype=np.int64)
     ends = np.cumsum(length)
     start = np.repeat(ends - length, length)
     place = np.arange(len(ids)) - start
@@ -260,7 +260,7 @@ def end_contexts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     head = ids[start] * m4 + second * m5
     shift = np.uint64(64 - CONTEXTS.bit_length() + 1)
     keys = [one + two + three + head + np.uint64(11), one + two + three + np.uint64(7), one + two + head + np.uint64(5), one + two + np.uint64(3), one + np.uint64(1)]
-    hashed = [((k ^ (k >> np.uint64(29))) * m1 >> shift).astype(np.int64) for k in keys]
+    hashed = [((k ^ (k >> np.uint64(29))) * m >> shift).astype(np.int64) + base for m, base in ((m1, 0), (m2, CONTEXTS)) for k in keys]
     return np.stack(hashed, axis=1), ends - 1
 
 
@@ -270,7 +270,7 @@ def line_class(line: str) -> str:
     return "title" if line.rstrip().endswith((":", "**")) or line.lstrip().startswith("#") else "other"
 
 
-LINE_SLOTS = {x: CONTEXTS + i for i, x in enumerate(("number", "bullet", "title", "other"))}
+LINE_SLOTS = {x: 2 * CONTEXTS + i for i, x in enumerate(("number", "bullet", "title", "other"))}
 
 
 def last_segment(lines: list[str]) -> str:
@@ -285,7 +285,7 @@ class EndCounts:
 
     def __init__(self, wanted: np.ndarray):
         self.wanted = wanted
-        self.index = np.full(CONTEXTS + len(LINE_SLOTS), -1, dtype=np.int32)
+        self.index = np.full(2 * CONTEXTS + len(LINE_SLOTS), -1, dtype=np.int32)
         self.index[wanted] = np.arange(len(wanted), dtype=np.int32)
         self.seen = np.zeros(len(wanted), dtype=np.int64)
         self.ends = np.zeros(len(wanted), dtype=np.int64)
@@ -331,8 +331,10 @@ class EndModel:
         contexts, at = end_contexts([last])
         if not len(at):
             return False
-        for c in contexts[at[0]].tolist():
-            seen, ends = self.of(c)
+        both = contexts[at[0]].tolist()
+        for pair in zip(both[:5], both[5:]):
+            # Other contexts that share a slot only add to it: the smaller of the two counts is the better one.
+            seen, ends = min(map(self.of, pair))
             # The answer's own end was counted as well and says nothing about itself.
             if seen - 1 >= SEEN:
                 return ends - 1 < least * (seen - 1)
@@ -450,7 +452,7 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
 
     def last(batch: pd.DataFrame, held: dict[str, np.ndarray]) -> None:
         contexts, ends = end_contexts([last_segment(list(x)) for x in batch["lines"]])
-        held.setdefault("slots", np.zeros(CONTEXTS, dtype=np.int8))[contexts[ends].ravel()] = 1
+        held.setdefault("slots", np.zeros(2 * CONTEXTS, dtype=np.int8))[contexts[ends].ravel()] = 1
 
     ended = found.filter("kind = 'text' and verdict = '' and size(lines) > 0").select("lines")
     slots_ = _counted(ended, last).get("slots", (np.zeros(0, dtype=np.int64),))[0]
