@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairnlight.functions.text import tokens
 from cairnlight.functions.vectors import cosine, mean_vector, norm
+from cairnlight.session import spread, written
 
 
 def dense_top_k(vectors: DataFrame, query: list[float], k: int, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -77,8 +78,9 @@ def occurrences(tokens_: Column, word: str) -> Column:
 def bm25(docs: DataFrame, id_column: str, text: str, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, score) of every document: Okapi BM25 of the query words over lower-case tokens, one pass for the statistics and one for the scores."""
     words = sorted({w.lower() for w in query})
-    toks = tokens(text)
-    rows = docs.select(id_column, F.size(toks).alias("len"), *[occurrences(toks, w).alias(f"tf{i}") for i, w in enumerate(words)])
+    toks = F.col("_t")
+    rows = spread(docs.select(id_column, text)).select(id_column, tokens(text).alias("_t")).select(id_column, F.size(toks).alias("len"), *[occurrences(toks, w).alias(f"tf{i}") for i, w in enumerate(words)])
+    rows = written(rows)  # a few numbers a document; the texts are split once
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(words))])
     scored = rows.join(F.broadcast(stats))  # one row
     score: Column = F.lit(0.0)

@@ -10,7 +10,7 @@ from cairnlight.functions.stats import normal_p, proportion_difference_ci
 from cairnlight.functions.text import plain_number, times_text, without_tag
 from cairnlight.operators import cohort as C
 from cairnlight.plans.registry import query
-from cairnlight.session import table
+from cairnlight.session import table, written
 
 #: The reason code whose first encounter is the diagnosis in these queries.
 TARGET = "710168"
@@ -120,9 +120,8 @@ CASES = f"""{MATCHED}, cases AS (SELECT patient, cutoff, 1 AS pos FROM cutoffs U
     cont AS (SELECT feature, sum(pos) AS a, sum(1 - pos) AS b, (SELECT sum(pos) FROM cases) AS np, (SELECT sum(1 - pos) FROM cases) AS nn FROM f JOIN cases USING (patient) GROUP BY feature)"""
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
+def features(spark: SparkSession, d: str, who: DataFrame) -> DataFrame:
     """Distinct (patient, feature) strictly before the patient's cutoff, for cases and controls."""
-    who = cases(spark, d)
     obs = observations(spark, d).select("patient", local_date("date").alias("d"), F.concat(F.lit("obs:"), "code").alias("feature"))
     enc = encounters(spark, d).select(
         "patient", local_date("start").alias("d"), F.explode(F.array(F.concat(F.lit("enc:"), "code"), F.concat(F.lit("reason:"), "reasoncode"))).alias("feature")
@@ -131,7 +130,8 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contingency(spark: SparkSession, d: str) -> DataFrame:
-    return C.contingency(features(spark, d), cases(spark, d).select("patient", "positive"), "patient", "feature", "positive")
+    who = written(cases(spark, d))
+    return C.contingency(features(spark, d, who), who.select("patient", "positive"), "patient", "feature", "positive")
 
 
 @query(f"""WITH {CASES} SELECT feature, a AS n_pos_with, b AS n_neg_with, round(a / np, 6) AS p_pos, round(b / nn, 6) AS p_neg,

@@ -10,7 +10,7 @@ from cairnlight.operators import knowledge as K
 from cairnlight.operators.components import connected_components
 from cairnlight.operators.ranking import global_rank
 from cairnlight.plans.registry import query
-from cairnlight.session import table, written
+from cairnlight.session import spread, table, written
 
 MENTIONS = "m AS (SELECT DISTINCT encounter AS unit, code AS title FROM observations WHERE encounter IS NOT NULL AND code IS NOT NULL)"
 NODES = f"{MENTIONS}, nodes AS (SELECT title, count(DISTINCT unit) AS frequency FROM m GROUP BY title)"
@@ -36,7 +36,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT doc_id, w, unnest(generate_series(0, greatest(CAST(ceil((len(w) - 10) / 40) AS BIGINT) - 1, 0))) AS i FROM w WHERE len(w) > 0)
     SELECT doc_id, i AS chunk, len(w[i * 40 + 1 : i * 40 + 50]) AS n_tokens, md5(array_to_string(w[i * 40 + 1 : i * 40 + 50], ' ')) AS digest FROM s""")
 def text_chunks(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select("doc_id", F.posexplode(token_chunks(tokens("text"), 50, 10)).alias("chunk", "w"))
+    words = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tokens("text").alias("t"))  # split once, not once a chunk
+    chunks = words.select("doc_id", F.posexplode(token_chunks(F.col("t"), 50, 10)).alias("chunk", "w"))
     return chunks.select("doc_id", "chunk", F.size("w").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
 
 

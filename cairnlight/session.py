@@ -68,6 +68,12 @@ def ship(spark: SparkSession) -> None:
     context._cairnlight_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose few files would leave most cores idle, over all cores; a scan with enough splits as it is. For work that costs far more than a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     ship(spark)
