@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.session import written
+from cairnlight.session import spread, written
 
 # Letters of other scripts that are drawn like a Latin letter, and that letter.
 LOOK_ALIKES = {
@@ -184,9 +184,9 @@ def same_look_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str =
     variant: a look with one variant has no pairs and leaves before the join. Null texts are left out.
     """
     digest = lambda c: F.unhex(F.md5(c))
+    texts = spread(df.filter(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("t")))
     keys = (
-        df.filter(F.col(text_column).isNotNull())
-        .select(F.col(id_column).alias("id"), F.col(text_column).alias("t"), consistent(text_column).alias("c"))
+        texts.select("id", "t", consistent("t").alias("c"))
         .select("id", digest(F.col("c").cast("binary")).alias("look"), digest(F.col("t").cast("binary")).alias("variant"))
     )
     keys = written(keys)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlight.operators.ranking import hash_rank
-from cairnlight.session import written
+from cairnlight.session import spread, written
 
 WORD = re.compile(r"[^\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -370,7 +370,7 @@ def analysed_slots(results: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     wanted = results.select("result_id", "status", "assessment_plan_prompts", "assessment_plan_raw", "variants")
-    return wanted.mapInPandas(parts, SLOT_SCHEMA)
+    return spread(wanted).mapInPandas(parts, SLOT_SCHEMA)
 
 
 def _counted(df: DataFrame, fill) -> dict[str, tuple[np.ndarray, np.ndarray]]:
