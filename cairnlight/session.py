@@ -70,8 +70,10 @@ def ship(spark: SparkSession) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """A scan whose few files would leave most cores idle, over all cores; a scan with enough splits as it is. For work that costs far more than a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+    cores, execution = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df  # not a mere scan: asking for its partitions would run it
+    return df.repartition(cores) if 2 * execution.toRdd().getNumPartitions() <= cores else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
