@@ -34,7 +34,7 @@ def _lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def split_once(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    """Children of a node: at level 0 sections, 1 paragraphs, 2 list items and lines, 3 sentences, 4 words, 5 characters."""
+    """Children of a node: at level 0 sections, 1 paragraphs, 2 list items and lines, 3 sentences, 4 words, 5 characters with their marks, 6 code points."""
     if level <= 2:
         lines = _lines(text, start, end)
         points = []
@@ -49,7 +49,9 @@ def split_once(text: str, start: int, end: int, level: int) -> list[tuple[int, i
         return _cut(text, start, end, points)
     if level in (3, 4):
         return _cut(text, start, end, [m.end() for m in (SENTENCE, WORD)[level - 3].finditer(text, start, end)])
-    # Single characters, each with the marks that combine with it, and CR LF as one.
+    if level == 6:
+        return [(i, i + 1) for i in range(start, end)]
+    # Characters with the marks that combine with them, and CR LF as one.
     points = [i for i in range(start + 1, end) if not unicodedata.combining(text[i]) and not (text[i] == "\n" and text[i - 1] == "\r")]
     return _cut(text, start, end, points)
 
@@ -77,7 +79,7 @@ def pack_tree(text: str, limit: int, first_limit: int, size=None) -> list[tuple[
                 if open_:
                     pieces.append(open_)
                 open_ = (a, b)
-            elif level >= 5:  # one character that is larger than the limit can't be cut
+            elif level >= 6:  # one code point that is larger than the limit can't be cut
                 if open_:
                     pieces.append(open_)
                 open_ = (a, b)
@@ -114,7 +116,7 @@ def cut_text(text: str, max_size: int, overlap: int, measure: str = "characters"
     for i, (a, b) in enumerate(pack_tree(text, max_size - overlap, max_size, size)):
         start = a
         if i:
-            while start > 0 and size(start - 1, a) <= overlap:
+            while start > 0 and size(start - 1, a) <= overlap and size(start - 1, b) <= max_size:
                 start = a - overlap if measure == "characters" else start - 1
                 if measure == "characters":
                     break
