@@ -246,7 +246,21 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     return _tables(spark, d).scores()
 
 
-@query()
+@query(r"""WITH slots AS (
+        SELECT result_id, '' AS variant, '' AS model, CAST(predictions AS JSON) AS p FROM results WHERE variants IS NULL AND predictions IS NOT NULL
+        UNION ALL SELECT result_id, variant, model, json_extract(plans, '$."' || model || '".predictions') FROM (
+            SELECT result_id, variant, plans, unnest(json_keys(plans)) AS model FROM (
+                SELECT result_id, variant, json_extract(v, '$."' || variant || '".assessment_plans') AS plans FROM (
+                    SELECT result_id, v, unnest(json_keys(v)) AS variant FROM (
+                        SELECT result_id, CASE WHEN json_type(CAST(variants AS JSON)) = 'VARCHAR' THEN CAST(CAST(variants AS JSON) ->> '$' AS JSON) ELSE CAST(variants AS JSON) END AS v FROM results WHERE variants IS NOT NULL))))),
+    lists AS (SELECT result_id, variant, model, CASE WHEN json_type(p) = 'VARCHAR' THEN CAST(p ->> '$' AS JSON) ELSE p END AS p FROM slots),
+    ranked AS (
+        SELECT result_id, variant, model, i AS rank, json_extract(p, '$[' || (i - 1) || '].plan') AS plan FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(p) AS BIGINT))) AS i FROM lists WHERE json_type(p) = 'ARRAY')
+        UNION ALL SELECT result_id, variant, model, CAST(k AS BIGINT), json_extract(p, '$."' || k || '".plan') FROM (SELECT *, unnest(json_keys(p)) AS k FROM lists WHERE json_type(p) = 'OBJECT')),
+    items AS (
+        SELECT result_id, variant, model, rank, i AS step, json_extract(plan, '$[' || (i - 1) || ']') AS item FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(plan) AS BIGINT))) AS i FROM ranked WHERE json_type(plan) = 'ARRAY')
+        UNION ALL SELECT result_id, variant, model, rank, 1, plan FROM ranked WHERE json_type(plan) = 'VARCHAR')
+    SELECT DISTINCT result_id, variant, model, CAST(rank AS INTEGER) AS rank, CAST(step AS INTEGER) AS step FROM items WHERE json_type(item) <> 'NULL'""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     items = ResultTables(table(spark, d, "results"), scores=False).plan_items()
     return items.selectExpr("record as result_id", "variant", "model", "rank", "step").distinct()
