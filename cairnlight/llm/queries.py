@@ -160,6 +160,13 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": """
             SELECT table_name, id FROM corpus, size_limits WHERE table_name = 'corpus' AND length(text) > max_size
             UNION ALL SELECT table_name, id FROM test, size_limits WHERE table_name = 'test' AND length(objective) > max_size""",
+        "p6_found": r"""
+            WITH q AS (SELECT id, regexp_extract_all(lower(subjective), '[\p{L}\p{N}]+') AS w FROM (SELECT id, subjective FROM test UNION ALL SELECT id, subjective FROM dev) WHERE subjective IS NOT NULL),
+    c AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM corpus WHERE text IS NOT NULL),
+    qt AS (SELECT DISTINCT id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM q WHERE len(w) >= 40),
+    ct AS (SELECT DISTINCT id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM c WHERE len(w) >= 3),
+    n AS (SELECT id, count(*) AS n FROM qt GROUP BY id), h AS (SELECT qt.id AS a, ct.id AS b, count(*) AS k FROM qt JOIN ct USING (t) GROUP BY ALL)
+    SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM h JOIN n ON n.id = a WHERE 2 * k >= n""",
         "p7_found": """
             SELECT doc_id FROM documents, size_limits WHERE table_name = 'documents' AND octet_length(encode(text)) > max_size""",
         "p8_found": """
