@@ -85,7 +85,7 @@ def search_dynamic_selection(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT community, 'substituted', 700 FROM t WHERE community = 'progress_note' AND cost > 9000""")
 def context_levels(spark: SparkSession, d: str) -> DataFrame:
     """Contexts over a budget: one community has finished reports below it, the others are trimmed."""
-    r = table(spark, d, "documents").filter("source is not null and doc_id < 200").select(F.col("source").alias("community"), F.col("doc_id").alias("item"), F.col("n_chars").alias("rank"), F.expr("n_chars div 4").alias("cost"))
+    r = table(spark, d, "documents").filter("source is not null").select(F.col("source").alias("community"), F.col("doc_id").alias("item"), F.col("n_chars").alias("rank"), F.expr("n_chars div 4").alias("cost"))
     reports = spark.createDataFrame([("a", 400), ("b", 300), ("c", 8500)], "community string, cost bigint")
     parents = spark.createDataFrame([("a", "progress_note"), ("b", "progress_note")], "community string, parent string")
     return X.level_contexts(r, reports, parents, 9000)
