@@ -1,7 +1,9 @@
 """Queries cover all rows of their tables."""
 
+import json
 from collections import defaultdict
 
+from cairnlight.operators.shredding import ResultTables
 from cairnlight.plans import queries as core
 
 
@@ -31,3 +33,26 @@ def test_context_levels_takes_all_documents(spark, tmp_path):
     got = {r.community: (r.kind, r.cost) for r in core.queries()["context_levels"](spark, str(tmp_path)).collect()}
     assert got == wanted
     assert got["progress_note"][0] == "substituted"  # "valid" on the first 200 documents
+
+
+STATED = "result_id bigint, status string, predictions string, evaluation string, variants string"
+
+
+def test_outputs_one_slot_for_each_row_without_variants(spark):
+    listed = json.dumps([{"condition": "a", "plan": ["p", "q"]}])
+    judged = json.dumps([{"rank": 1, "condition": {"metrics": {"judge": {"status": "scored", "value": 1}}}}])
+    nested = json.dumps({"v": {"status": "completed", "assessment_plans": {
+        "m": {"status": "failed", "error": {"type": "T", "message": "said"}, "predictions": None}, "n": {"status": "completed", "error": None, "predictions": json.loads(listed)}}}})
+    given = [(1, "completed", None, None, None), (2, "completed", listed, judged, None), (3, "failed", None, judged, " "), (4, "completed", listed, None, None), (5, "completed", None, None, nested)]
+    t = ResultTables(spark.createDataFrame(given, STATED))
+    outputs = t.outputs().collect()
+    assert sorted((r.record, r.variant, r.model, r.status, r.error_type, r.error_message) for r in outputs) == [
+        (1, "", "", "completed", None, None), (2, "", "", "completed", None, None), (3, "", "", "failed", None, None), (4, "", "", "completed", None, None),
+        (5, "v", "m", "failed", "T", "said"), (5, "v", "n", "completed", None, None),
+    ]
+    slots = {(r.record, r.root, r.node) for r in outputs}
+    predictions, scores = t.predictions().collect(), t.scores().collect()
+    assert sorted(r.record for r in predictions) == [2, 4, 5] and sorted(r.record for r in scores) == [2, 3]
+    assert {(r.record, r.root, r.slot_node) for r in predictions + scores} <= slots
+    assert len({(r.root, r.slot_node) for r in predictions + scores if r.record == 2}) == 1
+    assert sorted((r.record, r.step, r.text) for r in t.plan_items().collect()) == [(k, *x) for k in (2, 4, 5) for x in ((1, "p"), (2, "q"))]
