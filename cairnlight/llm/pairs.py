@@ -42,7 +42,7 @@ REFUSAL = re.compile(
 )
 
 #: Buckets of the hashed n-gram tables; their size is fixed, so they may be broadcast.
-GRAMS, CONTEXTS = 1 << 15, 1 << 22
+GRAMS = 1 << 15
 #: Least number of sightings for a context of the end-of-text model to be trusted.
 SEEN = 4
 
@@ -237,9 +237,9 @@ LINE_END = np.uint64(token_number("\n"))
 
 
 def end_contexts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed contexts of the place after every token of the sentences in parts, and the rows of the sentences' ends.
+    """64-bit keys of the contexts of the place after every token of the sentences in parts, and the rows of the sentences' ends.
 
-    A row has five contexts, each in two tables with hashes of their own, the longest first: the sentence's first two tokens with the last three, the last
+    A row has five contexts, the longest first: the sentence's first two tokens with the last three, the last
     three, the first two with the last two, the last two, the last. Numbers are one token; full stops and
     the like at a sentence's end are set aside. Sentences without a token are left out.
     """
@@ -249,7 +249,7 @@ def end_contexts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(stops, prepend=-1) - 1
     ids, length = ids[ids != LINE_END], length[length > 0]
     if not len(ids):
-        return np.zeros((0, 10), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros((0, 5), dtype=np.int64), np.zeros(0, dtype=np.int64)
     ends = np.cumsum(length)
     start = np.repeat(ends - length, length)
     place = np.arange(len(ids)) - start
@@ -258,10 +258,8 @@ def end_contexts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     m1, m2, m3, m4, m5 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
     one, two, three = ids * m1, before(1) * m2, before(2) * m3
     head = ids[start] * m4 + second * m5
-    shift = np.uint64(64 - CONTEXTS.bit_length() + 1)
     keys = [one + two + three + head + np.uint64(11), one + two + three + np.uint64(7), one + two + head + np.uint64(5), one + two + np.uint64(3), one + np.uint64(1)]
-    hashed = [((k ^ (k >> np.uint64(29))) * m >> shift).astype(np.int64) + base for m, base in ((m1, 0), (m2, CONTEXTS)) for k in keys]
-    return np.stack(hashed, axis=1), ends - 1
+    return np.stack([k.view(np.int64) for k in keys], axis=1), ends - 1
 
 
 def line_class(line: str) -> str:
@@ -270,85 +268,55 @@ def line_class(line: str) -> str:
     return "title" if line.rstrip().endswith((":", "**")) or line.lstrip().startswith("#") else "other"
 
 
-LINE_SLOTS = {x: 2 * CONTEXTS + i for i, x in enumerate(("number", "bullet", "title", "other"))}
+LINE_CLASSES = ("number", "bullet", "title", "other")
 
 
 def last_segment(lines: list[str]) -> str:
     return BREAK.split(lines[-1].strip())[-1] if lines else ""
 
 
-class EndCounts:
-    """Counts of how often a context, or a class of line, is followed by an end.
+def ending_keys(lines: list[str]) -> list[int] | None:
+    """The context keys of the end of an answer's last segment; None where it has no token."""
+    contexts, ends = end_contexts([last_segment(lines)])
+    return contexts[ends[0]].tolist() if len(ends) else None
 
-    wanted: the slots to be counted, those that end some answer; all others are looked up and dropped at once.
-    """
-
-    def __init__(self, wanted: np.ndarray):
-        self.wanted = wanted
-        self.index = np.full(2 * CONTEXTS + len(LINE_SLOTS), -1, dtype=np.int32)
-        self.index[wanted] = np.arange(len(wanted), dtype=np.int32)
-        self.seen = np.zeros(len(wanted), dtype=np.int64)
-        self.ends = np.zeros(len(wanted), dtype=np.int64)
-
-    def _add(self, to: np.ndarray, slots_: np.ndarray) -> None:
-        at = self.index[slots_]
-        to += np.bincount(at[at >= 0], minlength=len(to))
-
-    def add_lines(self, lines: list[str]) -> None:
-        contexts, ends = end_contexts(lines)
-        self._add(self.seen, contexts.ravel())
-        self._add(self.ends, contexts[ends].ravel())
 
-    def add_classes(self, answers: list[list[str]]) -> None:
-        classes = [[LINE_SLOTS[line_class(x)] for x in lines] for lines in answers]
-        self._add(self.seen, np.array([c for x in classes for c in x], dtype=np.int64))
-        self._add(self.ends, np.array([x[-1] for x in classes], dtype=np.int64))
+def counted_contexts(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, seen, ends): how often each context stands in lines, and how often an end follows it."""
+    contexts, ends = end_contexts(lines)
+    key, at = np.unique(contexts.ravel(), return_inverse=True)
+    last = np.bincount(at.reshape(contexts.shape)[ends].ravel(), minlength=len(key))
+    return key, np.bincount(at.ravel(), minlength=len(key)), last
 
 
-class EndModel:
-    """The counts summed over everything, by slot."""
+def cut_short(lines: list[str], classes: dict[str, tuple[int, int]], known: list[tuple[int, int]] | None, least: float = 0.04, least_line: float = 0.02) -> bool:
+    """Whether the end of a text is unlikely: of its last segment's longest known context, or of its last line's class.
 
-    def __init__(self, wanted: np.ndarray, seen: np.ndarray, ends: np.ndarray):
-        order = np.argsort(wanted)
-        self.wanted, self.seen, self.ends = wanted[order], seen[order], ends[order]
-
-    def of(self, slot: int) -> tuple[int, int]:
-        """(seen, ends) of a slot."""
-        i = int(np.searchsorted(self.wanted, slot))
-        return (int(self.seen[i]), int(self.ends[i])) if i < len(self.wanted) and self.wanted[i] == slot else (0, 0)
-
-    def cut_short(self, kind: str, lines: list[str], least: float = 0.04, least_line: float = 0.02) -> bool:
-        """Whether the end of a text is unlikely: of its last segment's longest known context, or of its last line's class."""
-        if kind != "text" or not lines:
-            return False
-        if len(lines) > 1:
-            seen, ends = self.of(LINE_SLOTS[line_class(lines[-1])])
-            if seen >= SEEN and ends < least_line * seen:
-                return True
-        last = last_segment(lines)
-        if re.search(r"[^\W\d_][.!?]['\")\]]?$", last):
-            return False
-        contexts, at = end_contexts([last])
-        if not len(at):
-            return False
-        both = contexts[at[0]].tolist()
-        for pair in zip(both[:5], both[5:]):
-            # Other contexts that share a slot only add to it: the smaller of the two counts is the better one.
-            seen, ends = min(map(self.of, pair))
-            # The answer's own end was counted as well and says nothing about itself.
-            if seen - 1 >= SEEN:
-                return ends - 1 < least * (seen - 1)
-        return True
+    classes: (seen, ends) by class of line; known: (seen, ends) of the last segment's contexts, the longest first, or None where it has no token.
+    """
+    if not lines:
+        return False
+    if len(lines) > 1:
+        seen, ends = classes.get(line_class(lines[-1]), (0, 0))
+        if seen >= SEEN and ends < least_line * seen:
+            return True
+    if known is None or re.search(r"[^\W\d_][.!?]['\")\]]?$", last_segment(lines)):
+        return False
+    for seen, ends in known:
+        # The answer's own end was counted as well and says nothing about itself.
+        if seen - 1 >= SEEN:
+            return ends - 1 < least * (seen - 1)
+    return True
 
 
 # On Spark.
 
-SLOT_SCHEMA = "result_id bigint, variant string, model string, kind string, verdict string, copied double, opening string, prompt string, lines array<string>"
+SLOT_SCHEMA = "result_id bigint, variant string, model string, kind string, verdict string, copied double, opening string, prompt string, lines array<string>, ending array<bigint>"
 
 
 def analysed_slots(results: DataFrame) -> DataFrame:
     """One row per completed slot: what can be said without statistics (empty, refusal, cut), the copied share, the prompt's opening, the prompt
-    (at its first slot in the row only) and the answer's lines."""
+    (at its first slot in the row only), the answer's lines and the context keys of its end (where they decide)."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split(" ")[0] for x in SLOT_SCHEMA.split(", ")]
@@ -366,7 +334,7 @@ def analysed_slots(results: DataFrame) -> DataFrame:
                         known[whole] = triples(whole)
                     share = copied_share(known[whole], a.segments)
                     verdict = "empty" if a.says_nothing() else "copied" if share >= 0.5 else "refusal" if a.declines() else "cut" if a.cut else ""
-                    rows.append((row["result_id"], variant, model, a.kind, verdict, share, opening, whole if new else None, a.segments))
+                    rows.append((row["result_id"], variant, model, a.kind, verdict, share, opening, whole if new else None, a.segments, ending_keys(a.segments) if a.kind == "text" and verdict == "" and a.segments else None))
             yield pd.DataFrame(rows, columns=names)
 
     wanted = results.select("result_id", "status", "assessment_plan_prompts", "assessment_plan_raw", "variants")
@@ -449,52 +417,59 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
     found = written(analysed_slots(results))
     base = language_counts(documents)
     first = found.sparkSession.sparkContext.broadcast(base)
+    columns = ["name", "slot", "n", "ends"]
 
-    def last(batch: pd.DataFrame, held: dict[str, np.ndarray]) -> None:
-        contexts, ends = end_contexts([last_segment(list(x)) for x in batch["lines"]])
-        held.setdefault("slots", np.zeros(2 * CONTEXTS, dtype=np.int8))[contexts[ends].ravel()] = 1
-
-    ended = found.filter("kind = 'text' and verdict = '' and size(lines) > 0").select("lines")
-    slots_ = _counted(ended, last).get("slots", (np.zeros(0, dtype=np.int64),))[0]
-    needed = found.sparkSession.sparkContext.broadcast(np.concatenate([np.sort(slots_), list(LINE_SLOTS.values())]).astype(np.int64))
-
-    def fill(batch: pd.DataFrame, held: dict[str, np.ndarray]) -> None:
-        if "model" not in kept:
-            kept["model"], kept["ends"] = Languages(first.value), EndCounts(needed.value)
-        model, ends = kept["model"], kept["ends"]
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Languages(first.value)
+        held: dict[str, np.ndarray] = {}
+        seen, ends = Counter(), Counter()
+        for batch in batches:
+            lines = fill(batch, model, held, seen, ends)
+            if lines:
+                key, n, last = counted_contexts(lines)
+                yield pd.DataFrame({"name": "context", "slot": key, "n": n, "ends": last})
+        for name, table in held.items():
+            at = np.flatnonzero(table)
+            yield pd.DataFrame({"name": name, "slot": at, "n": table[at].astype(np.int64), "ends": 0})
+        yield pd.DataFrame([("line " + x, 0, seen[x], ends[x]) for x in seen], columns=columns)
+
+    def fill(batch: pd.DataFrame, model: Languages, held: dict[str, np.ndarray], seen: Counter, ends: Counter) -> list[str]:
         sure: dict[str, Counter] = {}
-        counted, several = [], []
+        texts: list[str] = []
         judged = [(k, list(x)) for k, v, x in zip(batch["kind"], batch["verdict"], batch["lines"]) if v not in ("empty", "copied") and len(x)]
         for prompt in batch["prompt"]:
             if prompt:
                 # The last sentence may be cut by the prompt's own limit.
-                counted += BREAK.split(prompt)[:-1]
+                texts += BREAK.split(prompt)[:-1]
         posteriors = model.segment_posteriors([" ".join(x) for _, x in judged])[0] if model.names and judged else []
         for p, (_, lines) in zip(posteriors, judged):
             if p.max() > 0.999:
                 sure.setdefault(model.names[int(p.argmax())], Counter()).update({w for x in lines for w in LETTERS.findall(x.lower())})
         for kind, lines in judged:
             if kind != "broken":
-                counted += lines
+                texts += lines
             if kind == "text" and len(lines) > 1:
-                several.append(lines)
-        ends.add_lines(counted)
-        ends.add_classes(several)
+                classes = [line_class(x) for x in lines]
+                seen.update(classes)
+                ends[classes[-1]] += 1
         for lang, words in sure.items():
             add_grams(held.setdefault("lang " + lang, np.zeros(GRAMS)), words)
-        held["ends"], held["seen"] = ends.ends, ends.seen  # running sums of this task
-
-    kept: dict[str, object] = {}
-    counts = _counted(found.select("kind", "verdict", "prompt", "lines"), fill)
-    seen, ends = np.zeros(len(needed.value), dtype=np.int64), np.zeros(len(needed.value), dtype=np.int64)
-    for name, table in (("seen", seen), ("ends", ends)):
-        if name in counts:
-            table[counts[name][0]] = counts[name][1]
-    languages = adapted(base, {k[5:]: v for k, v in counts.items() if k.startswith("lang ")})
-    fitted = found.sparkSession.sparkContext.broadcast((languages, needed.value, seen, ends))
+        return texts
+
+    counts = written(found.select("kind", "verdict", "prompt", "lines").mapInPandas(counted, "name string, slot bigint, n bigint, ends bigint"))
+    small = counts.filter("name <> 'context'").groupBy("name", "slot").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).toPandas()
+    sure = {name[5:]: (g["slot"].to_numpy(), g["n"].to_numpy()) for name, g in small.groupby("name") if name.startswith("lang ")}
+    classes = {r.name[5:]: (r.n, r.ends) for r in small.itertuples(index=False) if r.name.startswith("line ")}
+    fitted = found.sparkSession.sparkContext.broadcast((adapted(base, sure), classes))
+    slots_ = found.drop("prompt", "copied").withColumn("first", F.col("ending")[0])
+    # The longest context has the tokens of all the shorter ones, so its key stands for the five.
+    five = slots_.filter("first is not null").groupBy("first").agg(F.first("ending").alias("ending")).select("first", F.posexplode("ending").alias("place", "slot"))
+    context = counts.filter("name = 'context'").join(five.select("slot").distinct(), "slot", "left_semi").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    known = five.join(context, "slot").groupBy("first").agg(F.array_sort(F.collect_list(F.struct("place", "n", "ends"))).alias("known"))
+    known = known.select("first", F.transform("known", lambda x: x["n"]).alias("seen"), F.transform("known", lambda x: x["ends"]).alias("ends"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, ends = Languages(fitted.value[0]), EndModel(*fitted.value[1:])
+        model, by_class = Languages(fitted.value[0]), fitted.value[1]
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
@@ -509,10 +484,10 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
                         defect = "truncated"
                     elif other:
                         defect = "language"
-                    elif ends.cut_short(r.kind, lines):
+                    elif r.kind == "text" and cut_short(lines, by_class, None if r.seen is None else list(zip(r.seen, r.ends))):
                         defect = "truncated"
                 if defect:
                     rows.append((r.result_id, r.variant, r.model, defect))
             yield pd.DataFrame(rows, columns=["result_id", "variant", "model", "defect"])
 
-    return found.drop("prompt", "copied").mapInPandas(judge, "result_id bigint, variant string, model string, defect string").distinct()
+    return slots_.join(known, "first", "left").drop("first", "ending").mapInPandas(judge, "result_id bigint, variant string, model string, defect string").distinct()
