@@ -3,29 +3,50 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, VectorAssembler
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlight.functions.dates import local_date
 from cairnlight.session import written
 
 
-def probe_texts(encounters: DataFrame, observations: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """(patient, text, label): the descriptions before the cutoff, repeated as often as they occur, and whether the patient has one."""
+def probe_counts(encounters: DataFrame, observations: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """(patient, label, terms, pairs): how often each description stands before the cutoff, how often two follow each other in their sorted order, and whether the patient has a cutoff.
+
+    terms and pairs are arrays of (term, n). A description that occurs n times follows itself n - 1 times.
+    """
     rows = observations.select("patient", "description", local_date("date").alias("d")).unionByName(encounters.select("patient", "description", local_date("start").alias("d")))
     kept = rows.join(cutoffs, "patient", "left").filter("patient is not null and description is not null and d is not null and (cutoff is null or d < cutoff)")
-    n = kept.groupBy("patient", F.col("cutoff").isNotNull().cast("double").alias("label"), "description").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.array_sort(F.collect_list(F.repeat(F.concat(F.regexp_replace("description", "[^A-Za-z0-9]+", "_"), F.lit(" ")), F.least("n", F.lit(20)).cast("int"))))
-    return n.groupBy("patient", "label").agg(F.array_join(parts, "").alias("text"))
+    term = F.lower(F.regexp_replace("description", "[^A-Za-z0-9]+", "_")).alias("term")
+    n = kept.groupBy("patient", F.col("cutoff").isNotNull().cast("double").alias("label"), term).agg(F.count(F.lit(1)).alias("n"))
+    listed = n.groupBy("patient", "label").agg(F.array_sort(F.filter(F.collect_list(F.struct("term", "n")), lambda x: x["term"] != "")).alias("terms"))
+    following = F.expr("""concat(transform(filter(terms, x -> x.n > 1), x -> struct(concat(x.term, ' ', x.term) as term, x.n - 1 as n)),
+        transform(slice(terms, 2, size(terms)), (x, i) -> struct(concat(terms[i].term, ' ', x.term) as term, 1L as n)))""")
+    return listed.withColumn("pairs", following)
+
+
+def hashed_counts(counts: str, features: int) -> Column:
+    """The array of (term, n) as a sparse vector of term frequencies; terms of the same bucket add up."""
+
+    @F.udf(returnType=VectorUDT())
+    def vector(items: list) -> SparseVector:
+        summed: dict[int, float] = {}
+        for bucket, n in items:
+            summed[bucket] = summed.get(bucket, 0.0) + n
+        return SparseVector(features, summed)
+
+    return vector(F.transform(counts, lambda x: F.struct(F.pmod(F.hash(x["term"]), F.lit(features)).alias("bucket"), x["n"].alias("n"))))
 
 
-def grouped_probe(texts: DataFrame, group: str, text: str, label: str, folds: int = 3, features: int = 1 << 12) -> DataFrame:
-    """(group, label, fold, prediction, probability) of held-out rows: folds by a hash of the group, so a group is never on both sides.
+def grouped_probe(counts: DataFrame, group: str, terms: str, pairs: str, label: str, folds: int = 5, features: int = 1 << 12) -> DataFrame:
+    """(group, label, fold, prediction) of held-out rows: folds by a hash of the group, so a group is never on both sides.
 
-    Weights balance the classes; the term weights of a fold are learnt on its training side alone.
+    terms and pairs are arrays of (term, n), taken as term frequencies. Weights balance the classes; the term weights of a fold are learnt on its training side alone.
     """
-    rows = written(texts.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")))
+    hashed = counts.select(group, label, hashed_counts(terms, features).alias("_a"), hashed_counts(pairs, features).alias("_b"))
+    rows = written(hashed.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")))
     out = None
     for k in range(folds):
         train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
@@ -37,12 +58,6 @@ def grouped_probe(texts: DataFrame, group: str, text: str, label: str, folds: in
         for value, n in counts.items():
             weight = F.when(F.col(label) == value, total / (len(counts) * n)).otherwise(weight)
         prepared = train.withColumn("_w", weight)
-        steps = [
-            RegexTokenizer(inputCol=text, outputCol="_t", pattern=r"\s+"), NGram(n=2, inputCol="_t", outputCol="_g"),
-            HashingTF(inputCol="_t", outputCol="_a", numFeatures=features), HashingTF(inputCol="_g", outputCol="_b", numFeatures=features),
-        ]
-        for s in steps:
-            prepared, test = s.transform(prepared), s.transform(test)
         for a, b in (("_a", "_c"), ("_b", "_d")):
             model = IDF(inputCol=a, outputCol=b, minDocFreq=2).fit(prepared)
             prepared, test = model.transform(prepared), model.transform(test)

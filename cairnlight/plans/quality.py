@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlight.functions.dates import local_date
 from cairnlight.functions.text import clean_text, condition_code, replace_terms, sub_phrases, without_tag
-from cairnlight.operators.probes import confusion, grouped_probe, probe_texts
+from cairnlight.operators.probes import confusion, grouped_probe, probe_counts
 from cairnlight.plans.cohort import TARGET, cutoffs, day_sql, encounters, observations
 from cairnlight.plans.registry import query
 from cairnlight.session import table
@@ -114,5 +114,5 @@ def serialize_history(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def probe_condition(spark: SparkSession, d: str) -> DataFrame:
     """Confusion table of a text probe (TF-IDF and balanced logistic regression, folds by patient): held-out predictions of the target against the rest."""
-    texts = probe_texts(encounters(spark, d), observations(spark, d), cutoffs(spark, d))
-    return confusion(grouped_probe(texts, "patient", "text", "label"), "label", "prediction")
+    counts = probe_counts(encounters(spark, d), observations(spark, d), cutoffs(spark, d))
+    return confusion(grouped_probe(counts, "patient", "terms", "pairs", "label"), "label", "prediction")

@@ -1,8 +1,11 @@
 """Queries cover all rows of their tables."""
 
+import datetime
+import inspect
 import json
 from collections import defaultdict
 
+from cairnlight.operators.probes import grouped_probe, hashed_counts, probe_counts
 from cairnlight.operators.shredding import ResultTables
 from cairnlight.plans import queries as core
 
@@ -56,3 +59,13 @@ def test_outputs_one_slot_for_each_row_without_variants(spark):
     assert {(r.record, r.root, r.slot_node) for r in predictions + scores} <= slots
     assert len({(r.root, r.slot_node) for r in predictions + scores if r.record == 2}) == 1
     assert sorted((r.record, r.step, r.text) for r in t.plan_items().collect()) == [(k, *x) for k in (2, 4, 5) for x in ((1, "p"), (2, "q"))]
+
+
+def test_probe_counts_have_no_cap(spark):
+    observed = spark.createDataFrame([("p", "Hot a", "2020-01-01")] * 50 + [("p", "b", "2020-01-01"), ("q", "b", "2020-01-01")], "patient string, description string, date string")
+    met = spark.createDataFrame([("q", "c", "2020-01-01")], "patient string, description string, start string")
+    cutoffs = spark.createDataFrame([("p", datetime.date(2021, 1, 1))], "patient string, cutoff date")
+    counts = probe_counts(met, observed, cutoffs).withColumn("v", hashed_counts("terms", 1 << 12))
+    got = {r.patient: (r.label, [tuple(x) for x in r.terms], sorted(tuple(x) for x in r.pairs), sorted(r.v.values)) for r in counts.collect()}
+    assert got == {"p": (1.0, [("b", 1), ("hot_a", 50)], [("b hot_a", 1), ("hot_a hot_a", 49)], [1, 50]), "q": (0.0, [("b", 1), ("c", 1)], [("b c", 1)], [1, 1])}
+    assert inspect.signature(grouped_probe).parameters["folds"].default == 5
