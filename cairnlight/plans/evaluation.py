@@ -246,6 +246,11 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     return _tables(spark, d).scores()
 
 
+@query()
+def p5_judge_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d).judge_scores()
+
+
 @query(r"""WITH slots AS (
         SELECT result_id, '' AS variant, '' AS model, CAST(predictions AS JSON) AS p FROM results WHERE variants IS NULL AND predictions IS NOT NULL
         UNION ALL SELECT result_id, variant, model, json_extract(plans, '$."' || model || '".predictions') FROM (

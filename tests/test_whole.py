@@ -69,3 +69,15 @@ def test_probe_counts_have_no_cap(spark):
     got = {r.patient: (r.label, [tuple(x) for x in r.terms], sorted(tuple(x) for x in r.pairs), sorted(r.v.values)) for r in counts.collect()}
     assert got == {"p": (1.0, [("b", 1), ("hot_a", 50)], [("b hot_a", 1), ("hot_a hot_a", 49)], [1, 50]), "q": (0.0, [("b", 1), ("c", 1)], [("b c", 1)], [1, 1])}
     assert inspect.signature(grouped_probe).parameters["folds"].default == 5
+
+
+def test_single_judges_scores(spark):
+    judge = {"status": "scored", "value": 3, "runs": [{"judge": "j1", "score": 1}, {"judge": "j2", "score": 2}]}
+    entries = [{"rank": 1, "condition": {"metrics": {"judge": judge}}}]
+    nested = {"v": {"assessment_plans": {"m": {"status": "completed", "evaluation": entries}}}}
+    t = ResultTables(spark.createDataFrame([(1, "completed", None, json.dumps(entries), None), (2, "completed", None, None, json.dumps(nested))], STATED))
+    single, scores = t.judge_scores().collect(), {(r.record, r.root, r.node): r.value for r in t.scores().collect()}
+    assert sorted((r.record, r.variant, r.model, r.rank, r.part, r.metric, r.ordinal, r.judge, r.score) for r in single) == [
+        (k, *slot, 1, "condition", "judge", i, f"j{i + 1}", i + 1.0) for k, slot in ((1, ("", "")), (2, ("v", "m"))) for i in range(2)
+    ]
+    assert {scores[r.record, r.root, r.score_node] for r in single} == {3.0} and len(scores) == 2
