@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from cairnlight.llm.chunking import cut_oversized, cut_text
 from cairnlight.llm.forms import LOOK_ALIKES, canonical_texts, one_form, same_look_pairs
-from cairnlight.llm.overlap import _packed, _unpacked, containment_join, cross_split_overlaps, hashed_runs, overlap_report, runs, vectors
+from cairnlight.llm.overlap import _blobs, _numbers, cosine_join, cross_split_overlaps, exact_runs, hashed_runs, overlap_report, vectors, words
 
 NOTE = "PATIENT\n- one, two\n\nCOMPLAINT\nFirst sentence here. Second sentence is longer! Third?\n\n## Plan\n1. do this\n2. do that\n\n" + "X" * 90 + "\n\nEND\nlast words of the note"
 
@@ -95,28 +95,28 @@ def make_texts(rng, n, words):
 def brute(queries, stored, least=40):
     out = set()
     for q, a in queries:
-        n, x = runs(a or "", 3)
+        x = exact_runs(a or "", 3)
         for s, b in stored:
-            if n >= least and x and len(x & runs(b or "", 3)[1]) >= 0.5 * len(x):
+            if len(words(a or "")) >= least and x and len(x & exact_runs(b or "", 3)) >= 0.5 * len(x):
                 out.add((q, s))
     return out
 
 
-def test_packing_of_terms():
+@pytest.mark.parametrize("width", [3, 4])
+def test_numbers_in_blobs(width):
     import numpy as np
 
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 1 << 20, n)) for n in (1, 0, 300, 5)] + [np.array([0]), np.array([(1 << 20) - 1]), np.zeros(0, dtype=np.int64)]
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    terms, counts = _unpacked(_packed(owner, np.concatenate(sets).astype(np.int64), len(sets)))
-    assert counts.tolist() == [len(x) for x in sets] and terms.tolist() == [v for x in sets for v in x]
+    sets = [np.unique(rng.integers(0, 1 << 8 * width, n)) for n in (1, 0, 300, 5)] + [np.array([0]), np.array([(1 << 8 * width) - 1]), np.zeros(0, dtype=np.int64)]
+    values, counts = _numbers(_blobs(np.concatenate(sets), np.array([len(x) for x in sets]), width), width)
+    assert counts.tolist() == [len(x) for x in sets] and values.tolist() == [v for x in sets for v in x]
 
 
 def test_hashed_runs_count_distinct_runs():
-    texts = ["a b c d a b c", "", "x", "a b", "A, b; C!", " ".join(["w"] * 9)]
-    count, distinct, owner, _ = hashed_runs(texts, 3)
-    assert count.tolist() == [runs(t, 3)[0] for t in texts] and distinct.tolist() == [len(runs(t, 3)[1]) for t in texts]
-    assert sorted(set(owner.tolist())) == [0, 4, 5]
+    texts = ["a b c d a b c", "", "x", "a b", "A, b; C!", " ".join(["w"] * 9), "a b c d, A b c"]
+    count, distinct, class_, owner, _ = hashed_runs(texts, 3)
+    assert count.tolist() == [len(words(t)) for t in texts] and distinct.tolist() == [len(exact_runs(t, 3)) for t in texts]
+    assert sorted(set(owner.tolist())) == [0, 4, 5, 6] and class_[0] == class_[6] and len(set(class_.tolist())) == 4
 
 
 def test_overlaps_against_all_pairs(spark):
@@ -133,22 +133,41 @@ def test_overlaps_against_all_pairs(spark):
     stored += [("snull", None), ("ssame", "w1 w1 w1"), ("sempty", ""), (None, "x")]
     q = spark.createDataFrame([(a, b, "t", "s") for a, b in queries], "id string, text string, split string, source string")
     s = spark.createDataFrame([(a, b, "s", 1) for a, b in stored], "id string, text string, source string, shared int")
-    found = cross_split_overlaps(q, s, slices=3)
-    assert {(r.query_id, r.stored_id) for r in found.collect()} == brute(queries, [x for x in stored if x[0]])
+    want = brute(queries, [x for x in stored if x[0]])
+    for bands, hits in ((None, 10**9), (1, 10**9), (4, 50), (40, 20)):
+        found = cross_split_overlaps(q, s, bands=bands, task_hits=hits)
+        rows = [(r.query_id, r.stored_id) for r in found.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+    whole = {r.query_id: r.dot for r in found.collect() if r.shared == r.terms}
+    assert whole and all(abs(x - 1) < 1e-6 for x in whole.values())
     report = overlap_report(q, s, found).collect()
     assert report[0].records == len(queries) and report[0].pairs == found.count()
     assert cross_split_overlaps(q.limit(0), s).count() == 0 and cross_split_overlaps(q, s.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
-def test_join_finds_all(spark, threshold):
+@pytest.mark.parametrize("bands", [1, 4, 9])
+def test_join_finds_all(spark, threshold, bands):
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(9)]
-    texts = [(f"d{i}", t) for i, t in enumerate(make_texts(rng, 40, words))] + [("e", " ".join(["w1", "w2"] * 30)), ("f", "w1 w2")]
-    df = spark.createDataFrame(texts, "id string, text string")
-    v = vectors(df, "id", "text", 2, 0)
-    key = {r[0]: r[1] for r in df.selectExpr("xxhash64(id)", "id").collect()}
-    got = {(key[r.query], key[r.stored]) for r in containment_join(v, v, threshold, slices=2).collect()}
-    sets = {k: runs(t, 2)[1] for k, t in texts}
-    want = {(a, b) for a in sets for b in sets if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a])}
-    assert want <= got
+    known = [f"w{i}" for i in range(9)]
+    texts = [(f"d{i}", t) for i, t in enumerate(make_texts(rng, 40, known))] + [("e", " ".join(["w1", "w2"] * 30)), ("f", "w1 w2"), ("g", "w1 w2")]
+    v = vectors(spark.createDataFrame(texts, "id string, text string"), "id", "text", 2, 0)
+    pairs, asked, _ = cosine_join(v, v, threshold, bands, 100)
+    classes = {r[0]: r[1] for r in v.select("id", "class").collect()}
+    got = {(r.query, r.stored) for r in pairs.collect()}
+    sets = {k: exact_runs(t, 2) for k, t in texts}
+    want = {(classes[a], classes[b]) for a in sets for b in sets if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a])}
+    assert want <= got and {q for q, _ in want} <= {r[0] for r in asked.select("class").collect()}
+
+
+def test_a_third_of_copies(spark):
+    """A hot group of copies on both sides is joined once and its pairs of ids are all there."""
+    rng = random.Random(5)
+    known = [f"w{i}" for i in range(400)]
+    texts = make_texts(rng, 60, known)
+    hot = " ".join(known[:60])
+    q = spark.createDataFrame([(f"q{i}", hot if i % 3 == 0 else t, "t", "s") for i, t in enumerate(texts)], "id string, text string, split string, source string")
+    s = spark.createDataFrame([(f"s{i}", hot if i % 3 == 1 else t, "s") for i, t in enumerate(texts)], "id string, text string, source string")
+    got = {(r.query_id, r.stored_id) for r in cross_split_overlaps(q, s).collect()}
+    assert {(f"q{i}", f"s{j}") for i in range(0, 60, 3) for j in range(1, 60, 3)} <= got
+    assert got == brute([(r.id, r.text) for r in q.collect()], [(r.id, r.text) for r in s.collect()])
