@@ -47,7 +47,9 @@ def hash_rank(
 def running_total(
     df: DataFrame, group: list[str], value: str, id_columns: list[str], total: str, seed: int = 0, buckets: int = 1024
 ) -> DataFrame:
-    """Running sum of value within group in hash order, by the same two steps as hash_rank."""
+    """Running sum of value within group in hash order, by the same two steps as hash_rank. total must not be one of the columns used here."""
+    if total in ("_bucket", "_key", "_sum", "_before"):
+        raise ValueError(f"{total} is a column of the operator itself")
     keyed = df.withColumn("_key", hash_order(*id_columns, seed=seed)).withColumn(
         "_bucket", bucket_of(F.col("_key"), buckets)
     )
