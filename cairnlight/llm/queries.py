@@ -26,8 +26,7 @@ def _sample(spark: SparkSession, d: str) -> MatchedSample:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    # A condition that is short has given all it has.
-    return _sample(spark, d).report().filter("short_by > 0 and taken <= available").select("condition")
+    return _sample(spark, d).report().filter("short_by > 0").select("condition")
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +108,11 @@ def _mixture(spark: SparkSession, d: str) -> Mixture:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    # A source out of reach comes out below its goal (rounded down) or just at it.
-    return _mixture(spark, d).report().filter("not in_reach and reached <= goal").select("source")
+    return _mixture(spark, d).report().filter("not in_reach").select("source")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d).records().withColumnRenamed("id", "doc_id")
+    return _mixture(spark, d).sequence().withColumnRenamed("id", "doc_id")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:

@@ -93,21 +93,34 @@ class MatchedSample:
         self.size = everything // 5 if size is None else size
         self.seats = divisor_seats(have, {c: p for c, (p, _) in plan.items()}, {c: m for c, (_, m) in plan.items()}, self.size)
         for c, (pct, floor) in sorted(plan.items()):
-            need = max(floor, -(-pct * self.size // 100))
-            self.rows.append((c, pct, floor, have[c], need, max(0, need - have[c])))
+            self.rows.append((c, pct, floor, max(floor, -(-pct * self.size // 100)), self.seats[c]))
         self.spark = records.sparkSession
 
+    def _plan(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows, "condition string, target_pct int, min_rows int, wanted bigint, seats bigint")
+
+    def sequence(self) -> DataFrame:
+        """(id, condition, rank, priority, wanted, seats): the records of all targets in the order in which they are taken: by rank inside the condition,
+        by priority across conditions (null where the share is 0). wanted: seats the target asks for; seats: what it gets."""
+        ranked = hash_rank(self.records.join(F.broadcast(self._plan()), "condition"), ["condition"], ["id"], "rank", self.seed)
+        priority = F.when(F.col("target_pct") > 0, (F.col("rank") - 0.5) / F.col("target_pct"))
+        return ranked.select("id", "condition", "rank", priority.alias("priority"), "wanted", "seats")
+
     def report(self) -> DataFrame:
-        """One row per target: available, wanted, taken (counted in the sample) and short_by (how many records are missing to what is wanted)."""
-        schema = "condition string, target_pct int, min_rows int, available bigint, wanted bigint, short_by bigint"
-        taken = self.sample().groupBy("condition").agg(F.count(F.lit(1)).alias("taken"))
-        return self.spark.createDataFrame(self.rows, schema).join(taken, "condition", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+        """One row per target: available, wanted, taken and two shortfalls, all read off the sequence.
+
+        wanted is the larger of min_rows and the share of the size. short_by: how many of the wanted seats come after the last record of the condition, which
+        is exhausted then, so the target can't be met. missing: how many of the wanted seats the sample didn't give, also because the minima of others came first.
+        """
+        got = self.sequence().groupBy("condition").agg(
+            F.max("rank").alias("available"), F.count(F.when(F.col("rank") <= F.col("wanted"), 1)).alias("_filled"), F.count(F.when(F.col("rank") <= F.col("seats"), 1)).alias("taken")
+        )
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+        return self._plan().join(got, "condition", "left").select(
+            "condition", "target_pct", "min_rows", zero("available").alias("available"), "wanted", zero("taken").alias("taken"),
+            (F.col("wanted") - zero("_filled")).alias("short_by"), F.greatest(F.col("wanted") - zero("taken"), F.lit(0)).cast("bigint").alias("missing"),
+        )
 
     def sample(self) -> DataFrame:
         """The sampled records with their condition, the rank in it and the priority by which they were kept."""
-        seats = [(c, p, self.seats[c]) for c, p, *_ in self.rows]
-        quota = self.spark.createDataFrame(seats, "condition string, _pct int, _seats bigint")
-        ranked = hash_rank(self.records.join(F.broadcast(quota), "condition"), ["condition"], ["id"], "rank", self.seed)
-        return ranked.filter("rank <= _seats").select(
-            "id", "condition", "rank", F.when(F.col("_pct") > 0, (F.col("rank") - 0.5) / F.col("_pct")).alias("priority")
-        )
+        return self.sequence().filter("rank <= seats").select("id", "condition", "rank", "priority")

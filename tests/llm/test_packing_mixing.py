@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from cairnlight.llm.mixing import Mixture, bisect_exponent, entropy, tempered
+from cairnlight.llm.mixing import filled_budgets, Mixture, bisect_exponent, entropy, tempered
 from cairnlight.llm.packing import container_report, pack, plan_containers
 
 
@@ -77,12 +77,47 @@ def test_mixture(spark):
     uses = Counter((r.id, r.source) for r in got)
     assert max(n for (_, s), n in uses.items() if s == "big") == 1 and set(n for (_, s), n in uses.items() if s == "small") == {3}
     report = {r.source: r for r in m.report().collect()}
-    assert report["big"].reached == 3000 and report["big"].in_reach and report["small"].reached == 3000 and not report["small"].in_reach
+    # What small and none lack of the 10,000 goes to big.
+    assert report["big"].goal == 3000 and report["big"].reached == 7000 and report["big"].in_reach and report["small"].reached == 3000 and not report["small"].in_reach
     assert report["none"].reached == 0 and not report["none"].in_reach
-    assert report["big"].share_of_total == 0.3 and report["small"].share_of_mixture == 0.5
+    assert report["big"].share_of_total == 0.7 and report["small"].share_of_mixture == 0.3
+
+
+def test_mixture_fills_its_parts(spark):
+    """Every source that isn't exhausted ends within one document of its part, past documents that don't fit."""
+    rng = random.Random(3)
+    docs = [(i, rng.choice("aab") if i % 9 else "c", rng.choice([7, 80, 900, 5000])) for i in range(900)]
+    m = mixture(spark, docs, [("a", 30, 2), ("b", 50, 3), ("c", 15, 2), ("d", 5, 9)])
+    got = m.records().collect()
+    report = {r.source: r for r in m.report().collect()}
+    total = sum(s for *_, s in docs)
+    assert total - 3 <= sum(r.part for r in report.values()) <= total
+    for s, r in report.items():
+        used = {x.id for x in got if x.source == s and x["pass"] == r.repeats}
+        unused = [n for i, o, n in docs if o == s and i not in used]
+        assert r.reached == sum(x.size for x in got if x.source == s) <= r.part
+        assert r.reached == r.size * r.max_repeats or r.part - r.reached < min(unused, default=1)
+    assert max(Counter(x.id for x in got).values()) <= 3 and len({(x.id, x["pass"]) for x in got}) == len(got)
+    soft = {r.source: r for r in Mixture(m.items, m._plan(), "id", weights="tempered").report().collect()}
+    assert all(abs(r.share_of_total - r.tempered_share) < 0.01 for r in soft.values())
+
+
+def test_blocks_have_all_sources_in_their_share(spark):
+    docs = [(i, "ab"[i % 2], 10) for i in range(2000)]
+    got = mixture(spark, docs, [("a", 75, 2), ("b", 25, 1)]).sequence(block_size=2000).collect()
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r.block, Counter())[r.source] += r.size
+    assert len(blocks) == 10 and all(abs(c["a"] - 1500) <= 10 and abs(c["b"] - 500) <= 10 for c in blocks.values())
+    assert len({(r.id, r["pass"]) for r in got}) == len(got)
+
+
+def test_budgets_under_caps():
+    assert filled_budgets({"a": 100, "b": 10, "c": 1000}, {"a": 50, "b": 30, "c": 20}, 200) == {"a": 100, "b": 10, "c": 90}
+    assert filled_budgets({"a": 5, "b": 5}, {"a": 1, "b": 0}, 200) == {"a": 5, "b": 0} and filled_budgets({}, {}, 5) == {}
 
 
 def test_mixture_of_nothing(spark):
     m = mixture(spark, [], [("a", 100, 2)])
-    assert m.records().count() == 0 and m.report().first().reached == 0
+    assert m.records().count() == 0 and m.report().first().reached == 0 and m.sequence().count() == 0
     assert mixture(spark, [(1, "a", 5)], []).report().count() == 0
