@@ -29,18 +29,24 @@ BREAK = re.compile(r"(?<=[.!?;:])\s+|[\r\n]+")
 TOKEN_OR_BREAK = re.compile(r"\n|" + TOKEN.pattern)
 TAIL = re.compile(r"[ \t.!?:;\"*]+(?=\n|$)")
 
-# Answers that stand for nothing.
-NOTHING = {"", "null", "none", "nil", "nan", "na", "n a", "undefined", "unknown", "empty", "no answer", "no output", "no response", "not available", "not applicable", "tbd", "todo"}
-# Turns of phrase by which an answer declines, in lower case with plain apostrophes.
-REFUSAL = re.compile(
-    r"\b(?:i|we)(?: am|'m| must| have| need| can| do|'d| would| will|'ll)?(?: to)? (?:sorry|decline|refuse|regret|hesitate|abstain|cannot|can't|not|won't|pass on|step back|unable|rather not|prefer not|(?:not|never) (?:able|allowed|permitted|in a position|comfortable|help|answer|give|provide|recommend|say|suggest|offer))\b"
-    r"|\bi (?:don't|do not|won't|will not|can't|cannot|couldn't|never|am unable|'m unable|have to (?:pass|decline|refuse|step)|need to (?:step|decline|refuse|pass)|must (?:decline|refuse|step|pass))\b"
-    r"|\b(?:can(?:not| not|'t)?|could) be (?:offered|given|provided)\b|\b(?:against|outside|beyond|within) (?:my|what|the scope)\b|\boff limits\b|\bnot (?:something|within what|mine) i?\b|\bnot my place\b"
-    r"|\b(?:no|nothing) (?:\w+ ){0,3}can be (?:offered|given|provided|shared|said)\b|\bhave to (?:skip|leave|pass|turn)\b|\bmy apologies\b|\bas (?:an? )?(?:ai|language model|assistant|software)\b|\bbeing (?:an? )?(?:ai|language model|assistant|software)\b"
-    r"|\b(?:consult|contact|see|speak to|talk to|ask) (?:a|an|your) (?:own )?(?:qualified |medical )?(?:doctor|clinician|professional|clinic|physician)\b"
-    r"|\blo siento\b|\bno (?:me es posible|puedo|debo|estoy en condiciones)\b|\bconsulte a (?:su|un)\b|\bprefiero no\b|\bdebo (?:declinar|rechazar)\b|\bje ne peux pas\b|\bdésolée?\b|\bich kann (?:nicht|keine|hier)\b|\btut mir leid\b|\bnão posso\b|\blamento\b|\bне могу\b|\bδεν μπορώ\b"
+# The labelled sample of answers the kinds of answers are fitted from, besides the answers with a list and the labelled documents.
+DECLINED = (
+    "I am sorry, but I cannot help with this request.", "As a language model I am not able to give medical advice.", "I must decline to answer that.", "This is outside what I may do.",
+    "I would rather not comment on this.", "Regrettably no answer can be given here.", "It is against my rules to judge this.", "I refuse to make a diagnosis; please speak to a professional.",
+    "We do not provide this kind of information.", "I won't do that, it would not be safe.", "My apologies, this task is not one I can take on.", "That is not for me to decide, ask your own doctor instead.",
+    "I don't feel able to offer an opinion about anyone's health.", "You should turn to somebody qualified for this question.",
+    "Lo siento, no puedo ayudar con esta solicitud.", "Prefiero no responder a esta pregunta.", "No me está permitido dar consejos médicos.",
+    "Es tut mir leid, dabei kann ich nicht helfen.", "Das darf ich leider nicht beantworten.", "Ich möchte mich dazu nicht äußern.",
+    "Je suis désolé, je ne peux pas répondre à cette question.", "Il ne m'est pas permis de donner un avis médical.",
+    "Lamento, não posso ajudar com este pedido.", "Não me é permitido responder a isso.", "К сожалению, я не могу ответить на этот вопрос.", "Мне нельзя давать медицинские советы.",
+    "Λυπάμαι, δεν μπορώ να απαντήσω σε αυτό.", "Δεν μου επιτρέπεται να δώσω ιατρικές συμβουλές.", "Mi dispiace, non posso rispondere a questa domanda.", "Het spijt me, daar kan ik niet bij helpen.",
 )
+NOTHING_SAID = ("none", "null", "n/a", "not applicable", "not available", "no answer", "no output", "no response", "unknown", "undefined", "empty", "to be done", "no content", "ninguno", "keine Angabe", "néant", "nenhum", "нет", "κανένα")
+# Kinds of answers without a list.
+KINDS = ("answer", "declined", "nothing")
 
+#: Slots of the hashed word features of the kinds of answers.
+FEATURES = 1 << 15
 #: Buckets of the hashed n-gram tables; their size is fixed, so they may be broadcast.
 GRAMS = 1 << 15
 #: Least number of sightings for a context of the end-of-text model to be trusted.
@@ -106,20 +112,14 @@ class Answer:
             self.segments = [x for x in re.split(r"[\r\n]+", text) if x.strip()]
             self.listed = sum(bool(LISTED.match(x)) for x in self.segments) >= 2
 
-    def says_nothing(self) -> bool:
-        """No word but stand-ins for nothing, once labels of sections without content are set aside."""
-        if sum(map(len, self.segments)) > 400 and len(WORD.findall(self.segments[0])) > 12:
-            return False
-        said = []
-        for i, x in enumerate(self.segments):
-            last = i + 1 == len(self.segments)
-            title = self.kind == "text" and LABEL.match(x) and not LISTED.match(x) and (x.rstrip().endswith((":", "*")) or x.lstrip().startswith("#"))
-            if not title and (last or x.strip()):
-                said.append(" ".join(WORD.findall(x.lower())))
-        return all(x in NOTHING for x in said)
+    def said(self) -> list[str]:
+        """What is said once labels of sections are set aside."""
+        title = lambda x: self.kind == "text" and LABEL.match(x) and not LISTED.match(x) and (x.rstrip().endswith((":", "*")) or x.lstrip().startswith("#"))
+        return [x for x in self.segments if not title(x)]
 
-    def declines(self) -> bool:
-        return not self.listed and bool(REFUSAL.search(" ".join(self.segments).lower().replace("’", "'")))
+    def says_nothing(self) -> bool:
+        """Too few letters for the shortest statement; whether short words say something is left to the kinds of answers."""
+        return sum(len(m) for x in self.said() for m in LETTERS.findall(x)) < 3
 
 
 def prompt_parts(prompt: object) -> tuple[str, str]:
@@ -225,6 +225,59 @@ class Languages:
         return (p * letters[:, None]).sum(axis=0) / max(1, letters.sum())
 
 
+# Kinds of answers by naive Bayes over words and pairs of words.
+
+
+def word_features(segments: list[str]) -> Counter:
+    """Words, their first four letters and pairs of neighbouring words of the segments."""
+    out: Counter = Counter()
+    for x in segments:
+        w = LETTERS.findall(x.lower())
+        out.update(w)
+        out.update("^" + y[:4] for y in w)
+        out.update(a + " " + b for a, b in zip(w, w[1:]))
+    return out
+
+
+@lru_cache(1 << 17)
+def feature_slot(feature: str) -> int:
+    return xxhash.xxh32_intdigest(feature) % FEATURES
+
+
+def feature_table(features: Counter, weight: float = 1.0) -> np.ndarray:
+    table = np.zeros(FEATURES)
+    for f, n in features.items():
+        table[feature_slot(f)] += weight * n
+    return table
+
+
+class Kinds:
+    """Naive Bayes of what an answer without a list is: an answer, declined or nothing. Tables are scaled to one total, so a word that no kind has decides nothing."""
+
+    def __init__(self, tables: dict[str, np.ndarray]):
+        table = np.array([tables[k] / max(1.0, tables[k].sum()) for k in KINDS])
+        self.table = np.log(table + 1e-5)
+
+    def posterior(self, segments: list[str]) -> np.ndarray:
+        """Posterior of the kinds; a word has three features, so the likelihood is tempered by a third."""
+        features = word_features(segments)
+        if not features:
+            return np.array([0.0, 0.0, 1.0])
+        at = np.fromiter(map(feature_slot, features), dtype=np.int64)
+        total = (self.table[:, at] * np.fromiter(features.values(), dtype=float)).sum(axis=1) / 3
+        p = np.exp(total - total.max())
+        return p / p.sum()
+
+
+def seeded_kinds(answers: np.ndarray, more: dict[str, np.ndarray] | None = None) -> Kinds:
+    """Kinds from the counts of answers, the labelled sample, and soft counts of the answers without a list, which weigh as much as the sample."""
+    tables = {"answer": answers, "declined": feature_table(word_features(list(DECLINED))), "nothing": feature_table(word_features(list(NOTHING_SAID)))}
+    for kind, table in (more or {}).items():
+        if kind != "answer" and table.sum() > 0:
+            tables[kind] = tables[kind] / tables[kind].sum() + table / max(table.sum(), tables[kind].sum())
+    return Kinds(tables)
+
+
 # End of text by word n-grams.
 
 
@@ -300,22 +353,23 @@ def cut_short(lines: list[str], classes: dict[str, tuple[int, int]], known: list
         seen, ends = classes.get(line_class(lines[-1]), (0, 0))
         if seen >= SEEN and ends < least_line * seen:
             return True
-    if known is None or re.search(r"[^\W\d_][.!?]['\")\]]?$", last_segment(lines)):
+    if known is None:
         return False
     for seen, ends in known:
         # The answer's own end was counted as well and says nothing about itself.
         if seen - 1 >= SEEN:
             return ends - 1 < least * (seen - 1)
-    return True
+    # No context is known: a full stop after a word is all the evidence there is.
+    return not re.search(r"[^\W\d_][.!?]['\")\]]?$", last_segment(lines))
 
 
 # On Spark.
 
-SLOT_SCHEMA = "result_id bigint, variant string, model string, kind string, verdict string, copied double, opening string, prompt string, lines array<string>, ending array<bigint>"
+SLOT_SCHEMA = "result_id bigint, variant string, model string, kind string, verdict string, listed boolean, copied double, opening string, prompt string, lines array<string>, ending array<bigint>"
 
 
 def analysed_slots(results: DataFrame) -> DataFrame:
-    """One row per completed slot: what can be said without statistics (empty, refusal, cut), the copied share, the prompt's opening, the prompt
+    """One row per completed slot: what can be said without statistics (empty, copied, cut), whether there is a list, the copied share, the prompt's opening, the prompt
     (at its first slot in the row only), the answer's lines and the context keys of its end (where they decide)."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,8 +387,9 @@ def analysed_slots(results: DataFrame) -> DataFrame:
                     if new:
                         known[whole] = triples(whole)
                     share = copied_share(known[whole], a.segments)
-                    verdict = "empty" if a.says_nothing() else "copied" if share >= 0.5 else "refusal" if a.declines() else "cut" if a.cut else ""
-                    rows.append((row["result_id"], variant, model, a.kind, verdict, share, opening, whole if new else None, a.segments, ending_keys(a.segments) if a.kind == "text" and verdict == "" and a.segments else None))
+                    verdict = "empty" if a.says_nothing() else "copied" if share >= 0.5 else "cut" if a.cut else ""
+                    ending = ending_keys(a.segments) if verdict == "" and a.segments else None
+                    rows.append((row["result_id"], variant, model, a.kind, verdict, a.listed, share, opening, whole if new else None, a.segments, ending))
             yield pd.DataFrame(rows, columns=names)
 
     wanted = results.select("result_id", "status", "assessment_plan_prompts", "assessment_plan_raw", "variants")
@@ -352,19 +407,16 @@ def _counted(df: DataFrame, fill) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"name": name, "slot": at, "n": counts[at]})
 
-    sums = df.mapInPandas(parts, "name string, slot int, n bigint").groupBy("name", "slot").agg(F.sum("n").alias("n"))
-    out: dict[str, list] = {}
-    for r in sums.toPandas().itertuples(index=False):
-        out.setdefault(r.name, []).append((r.slot, r.n))
-    return {k: (np.array([s for s, _ in v]), np.array([n for _, n in v])) for k, v in out.items()}
+    sums = df.mapInPandas(parts, "name string, slot int, n double").groupBy("name", "slot").agg(F.sum("n").alias("n"))
+    return {name: (g["slot"].to_numpy(), g["n"].to_numpy()) for name, g in sums.toPandas().groupby("name")}
 
 
-def language_counts(documents: DataFrame, per_language: int = 200, most: int = 4000) -> dict[str, np.ndarray]:
-    """N-gram counts by language from at most per_language labelled documents each (of 1 to most characters, chosen by hash).
+def language_counts(documents: DataFrame, per_language: int = 200, most: int = 4000) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(n-gram counts by language, word features) from at most per_language labelled documents each (of 1 to most characters, chosen by hash).
 
     This is the bounded sample of labelled rows the classifier starts from; languages with fewer than 10 documents are left out.
     """
-    usable = documents.filter("lang is not null and lang <> 'und' and text is not null").filter(F.char_length("text").between(1, most))
+    usable = documents.filter("trim(lang) <> '' and lang <> 'und' and text is not null").filter(F.char_length("text").between(1, most))
     keyed = usable.select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id"))
     chosen = hash_rank(keyed.drop("_h"), ["lang"], ["doc_id"]).filter(F.col("rank") <= per_language).select("doc_id", "lang")
     texts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
@@ -376,14 +428,18 @@ def language_counts(documents: DataFrame, per_language: int = 200, most: int = 4
             held.setdefault(lang, np.zeros(GRAMS + 1))[GRAMS] += 1  # the last slot counts documents
         for lang, words in counted.items():
             add_grams(held[lang], words)
+        if len(batch):
+            held[""] = held.get("", 0) + feature_table(word_features(batch["text"].tolist()))
 
-    tables = {}
+    tables, features = {}, np.zeros(FEATURES)
     for lang, (slot, n) in _counted(texts, fill).items():
-        table = np.zeros(GRAMS + 1)
+        table = np.zeros(max(GRAMS + 1, FEATURES))
         table[slot] = n
-        if table[GRAMS] >= 10:
+        if not lang:
+            features = table[:FEATURES]
+        elif table[GRAMS] >= 10:
             tables[lang] = table[:GRAMS]
-    return tables
+    return tables, features
 
 
 def add_grams(table: np.ndarray, words: Counter) -> None:
@@ -405,17 +461,41 @@ def adapted(base: dict[str, np.ndarray], extra: dict[str, tuple[np.ndarray, np.n
     return out
 
 
-def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
+def refined_kinds(found: DataFrame, answers: np.ndarray, rounds: int = 2) -> Kinds:
+    """Kinds of answers, refined by expectation and maximisation over the answers without a list: each counts for every kind as far as it is likely to be of it."""
+    spark = found.sparkSession
+    unlisted = found.filter("not listed and verdict in ('', 'cut')").select("lines")
+    kinds = seeded_kinds(answers)
+    for _ in range(rounds):
+        held = spark.sparkContext.broadcast(kinds)
+
+        def weigh(batch: pd.DataFrame, out: dict[str, np.ndarray], held: object = held) -> None:
+            for lines in batch["lines"]:
+                p, features = held.value.posterior(list(lines)), word_features(list(lines))
+                for kind, share in zip(KINDS, p):
+                    if share > 0.01:
+                        out[kind] = out.get(kind, 0) + feature_table(features, share)
+
+        tables = {}
+        for kind, (slot, n) in _counted(unlisted, weigh).items():
+            tables[kind] = np.zeros(FEATURES)
+            tables[kind][slot] = n
+        kinds = seeded_kinds(answers, tables)
+    return kinds
+
+
+def defective_pairs(results: DataFrame, documents: DataFrame, rounds: int = 2) -> DataFrame:
     """(result_id, variant, model, defect) for the defective pairs among the completed slots of results.
 
     documents (doc_id, text, lang) only serves to fit the languages. empty: nothing is said. copied: at least half of the
-    answer's runs of three words stand in the prompt. refusal: an answer without a list of findings that declines. language: the
+    answer's runs of three words stand in the prompt. refusal: an answer without a list of findings that is declined by the kinds of answers (seeded_kinds),
+    which are fitted on the answers with a list, the labelled documents and a labelled sample, and refined `rounds` times by the answers without a list. language: the
     posterior of the answer's language differs from that of the prompt's opening. truncated: the JSON, or its fence, isn't
     closed, or the end of the text is unlikely for the word n-grams before it. They are tried in this order. Slots without a prompt have no
     language defect and no copies; unreadable rows give no slots; statistics of endings cover all answers.
     """
     found = written(analysed_slots(results))
-    base = language_counts(documents)
+    base, features = language_counts(documents)
     first = found.sparkSession.sparkContext.broadcast(base)
     columns = ["name", "slot", "n", "ends"]
 
@@ -437,6 +517,8 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
         sure: dict[str, Counter] = {}
         texts: list[str] = []
         judged = [(k, list(x)) for k, v, x in zip(batch["kind"], batch["verdict"], batch["lines"]) if v not in ("empty", "copied") and len(x)]
+        listed = [y for v, x in zip(batch["listed"], batch["lines"]) if v for y in x]
+        held["answer"] = held.get("answer", 0) + feature_table(word_features(listed))
         for prompt in batch["prompt"]:
             if prompt:
                 # The last sentence may be cut by the prompt's own limit.
@@ -456,11 +538,15 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
             add_grams(held.setdefault("lang " + lang, np.zeros(GRAMS)), words)
         return texts
 
-    counts = written(found.select("kind", "verdict", "prompt", "lines").mapInPandas(counted, "name string, slot bigint, n bigint, ends bigint"))
+    counts = written(found.select("kind", "verdict", "listed", "prompt", "lines").mapInPandas(counted, "name string, slot bigint, n bigint, ends bigint"))
     small = counts.filter("name <> 'context'").groupBy("name", "slot").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).toPandas()
     sure = {name[5:]: (g["slot"].to_numpy(), g["n"].to_numpy()) for name, g in small.groupby("name") if name.startswith("lang ")}
     classes = {r.name[5:]: (r.n, r.ends) for r in small.itertuples(index=False) if r.name.startswith("line ")}
-    fitted = found.sparkSession.sparkContext.broadcast((adapted(base, sure), classes))
+    answers = features
+    for _, g in small[small["name"] == "answer"].groupby("name"):
+        answers = answers / max(1.0, answers.sum()) * g["n"].sum()
+        np.add.at(answers, g["slot"].to_numpy(), g["n"].to_numpy())
+    fitted = found.sparkSession.sparkContext.broadcast((adapted(base, sure), classes, refined_kinds(found, answers, rounds)))  # tables of fixed size
     slots_ = found.drop("prompt", "copied").withColumn("first", F.col("ending")[0])
     # The longest context has the tokens of all the shorter ones, so its key stands for the five.
     five = slots_.filter("first is not null").groupBy("first").agg(F.first("ending").alias("ending")).select("first", F.posexplode("ending").alias("place", "slot"))
@@ -469,12 +555,15 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
     known = known.select("first", F.transform("known", lambda x: x["n"]).alias("seen"), F.transform("known", lambda x: x["ends"]).alias("ends"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, by_class = Languages(fitted.value[0]), fitted.value[1]
+        model, by_class, kinds = Languages(fitted.value[0]), fitted.value[1], fitted.value[2]
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 lines = list(r.lines)
                 defect = r.verdict
+                if defect in ("", "cut") and not r.listed:
+                    kind = KINDS[int(kinds.posterior(lines).argmax())]
+                    defect = {"declined": "refusal", "nothing": "empty"}.get(kind, defect)
                 if defect in ("", "cut"):
                     other = False
                     if len(model.names) > 1 and LETTERS.search(r.opening or "") and any(LETTERS.search(x) for x in lines):
@@ -484,7 +573,7 @@ def defective_pairs(results: DataFrame, documents: DataFrame) -> DataFrame:
                         defect = "truncated"
                     elif other:
                         defect = "language"
-                    elif r.kind == "text" and cut_short(lines, by_class, None if r.seen is None else list(zip(r.seen, r.ends))):
+                    elif cut_short(lines, by_class if r.kind == "text" else {}, None if r.seen is None else list(zip(r.seen, r.ends))):
                         defect = "truncated"
                 if defect:
                     rows.append((r.result_id, r.variant, r.model, defect))

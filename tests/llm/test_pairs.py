@@ -2,33 +2,50 @@ import json
 
 import pytest
 
-from cairnlight.llm.pairs import Answer, copied_share, defective_pairs, prompt_parts
+from cairnlight.llm.pairs import KINDS, Answer, copied_share, defective_pairs, feature_table, prompt_parts, refined_kinds, seeded_kinds, word_features
 
 PROMPT = "Read the notes below. Give an assessment and a plan.\n\nSUBJECTIVE\nThe pain in the knee came on after a fall and gets worse at night. She has tried ice and rest for two weeks."
 GOOD = "Assessment:\nMost likely a knee strain.\n1. knee strain\n2. gout\n3. bursitis\n\nPlan:\n- Rest the knee for {} weeks\n- Review in {} days by phone"
 
 
-@pytest.mark.parametrize("raw", [None, "", " \n", "​", "null", "N/A", "...", '""', "{}", "[]", '{"predictions": []}', "```json\n```", "Assessment:\nPlan:\n-", "## Assessment\n\n## Plan\n", '{"predictions": [{"condition": "", "plan": []}]}', "None"])
+DOCS = {
+    "en": ["the patient has pain in the knee and was told to rest", "review in two weeks with the diary and rest the shoulder", "most likely a strain of the knee without fever"],
+    "de": ["die patientin hat schmerzen im knie und soll sich schonen", "kontrolle in zwei wochen mit dem tagebuch und ruhe", "am ehesten eine zerrung im knie ohne fieber"],
+}
+
+
+@pytest.mark.parametrize("raw", [None, "", " \n", "​", "N/A", "...", '""', "{}", "[]", '{"predictions": []}', "```json\n```", "{\"a\": null}", "Assessment:\nPlan:\n-", "## Assessment\n\n## Plan\n", '{"predictions": [{"condition": "", "plan": []}]}'])
 def test_empty(raw):
     assert Answer(raw).says_nothing()
 
 
-@pytest.mark.parametrize("raw", ["gout", '{"predictions": [{"condition": "gout", "plan": []}]}', GOOD, "Plan:\n- rest"])
+@pytest.mark.parametrize("raw", ["gout", "No answer", '{"predictions": [{"condition": "gout", "plan": []}]}', GOOD, "Plan:\n- rest"])
 def test_not_empty(raw):
     assert not Answer(raw).says_nothing()
 
 
-@pytest.mark.parametrize(
-    "raw",
-    ["I'm sorry, but I cannot give a medical opinion.", "As a language model I need to step back from this.", '{"error": "This request goes beyond what I may do."}', "Offering diagnoses is against my guidelines.", "Please consult a doctor about this; I never give assessments.", "## Assessment\nI have to skip this one.\n\n## Plan\n- none", "No ranking can be offered here."],
-)
-def test_refusal(raw):
-    assert Answer(raw).declines()
+#: Phrasings that stand neither in the code nor in the test tables.
+REFUSED = ("Regrettably this one has to go unanswered.", "Es ist mir nicht erlaubt, dazu etwas zu sagen.", "Sadly, commenting on someone's health is not something I am able to do.", "No puedo dar ninguna respuesta a esto.", "I'd prefer to leave this question to a professional.", "We are not allowed to answer such requests.")
+ANSWERED = ("Contact a doctor if fever persists; take paracetamol 1 g.", "Most likely a strain of the knee, rest the shoulder and review in two weeks.", "Kontrolle in zwei Wochen mit dem Tagebuch und Ruhe.", "The patient declined an injection; rest the knee for 2 weeks.", "Gout")
+
 
+def clinical_kinds():
+    text = ["The patient has fever and cough; take paracetamol 1 g and contact the clinic if fever persists", "I cannot exclude gout; repeat the examination in 3 days", "Do not give aspirin, the patient declined it", "Ask a doctor about zinc"]
+    return seeded_kinds(feature_table(word_features(text * 3 + [GOOD] * 20 + [t for ts in DOCS.values() for t in ts])))
 
-@pytest.mark.parametrize("raw", [GOOD, "1. gout\n2. strain\n- I cannot exclude a stroke; repeat the examination\n- Do not give aspirin, the patient declined it", '{"predictions": [{"condition": "gout", "plan": ["Ask a doctor about it"]}]}'])
-def test_no_refusal(raw):
-    assert not Answer(raw).declines()
+
+@pytest.mark.parametrize("text,kind", [(t, "declined") for t in REFUSED] + [(t, "answer") for t in ANSWERED] + [("none", "nothing"), ("No answer.", "nothing"), ("not available", "nothing"), ("-", "nothing")])
+def test_kinds_of_answers(text, kind):
+    assert KINDS[int(clinical_kinds().posterior([text]).argmax())] == kind
+
+
+def test_kinds_are_refined_by_the_table(spark):
+    """A phrasing far from the sample is learnt from its many repetitions with other words around it."""
+    strange = [f"Passing over {x} gladly, hands tied by policy." for x in ("this", "it", "such matters", "that case")]
+    rows = [(False, "", ["Passing over requests, sorry, I cannot answer; hands tied by policy."])] * 3 + [(False, "", [x]) for x in strange] + [(True, "", ["rest the knee"])]
+    found = spark.createDataFrame(rows, "listed boolean, verdict string, lines array<string>")
+    kinds = refined_kinds(found, feature_table(word_features([GOOD] * 20)))
+    assert all(KINDS[int(kinds.posterior([x]).argmax())] == "declined" for x in strange)
 
 
 def test_copies_and_prompts():
@@ -44,10 +61,6 @@ def test_cut_json():
     assert Answer("```json\n" + whole).cut and not Answer("```json\n" + whole + "\n```").cut
 
 
-DOCS = {
-    "en": ["the patient has pain in the knee and was told to rest", "review in two weeks with the diary and rest the shoulder", "most likely a strain of the knee without fever"],
-    "de": ["die patientin hat schmerzen im knie und soll sich schonen", "kontrolle in zwei wochen mit dem tagebuch und ruhe", "am ehesten eine zerrung im knie ohne fieber"],
-}
 
 
 def slot(raw, status="completed", prompt=PROMPT):
