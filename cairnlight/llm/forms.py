@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnlight.session import spread, written
@@ -22,11 +22,22 @@ LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "Օ": "O", "Տ": "S", "Լ": "L", "օ": "o", "ս": "u", "ո": "n", "հ": "h",
-    "ɑ": "a", "ɡ": "g", "ı": "i", "‐": "-", "‑": "-", "﹣": "-", "’": "'", "‘": "'", "ʼ": "'", "′": "'",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R",
+    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N",
+    "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "ℓ": "l", "∨": "v", "∣": "|", "∶": ":", "∕": "/", "−": "-", "‐": "-", "‑": "-", "﹣": "-", "’": "'", "‘": "'", "ʼ": "'", "′": "'",
 }
 #: Compatibility decompositions that don't change how a text looks.
-SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
+SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>")
+#: Code points with a <compat> decomposition that looks the same: ligatures, the ellipsis, the micro sign, Roman numerals.
+SAME_COMPAT = (range(0xFB00, 0xFB18), range(0x2026, 0x2027), range(0xB5, 0xB6), range(0x2160, 0x2180))
+#: Small capitals look like a small letter where that has the shape of its capital, else like the capital.
+SMALL_LIKE_CAPITAL = "cosvwxz"
 DROPPED = -1
+#: Characters that may change; texts without any are fixed points.
+ODD = r"[^\t\n\x20-\x7E]"
 
 
 #: Planes that hold assigned characters other than private ones.
@@ -46,9 +57,13 @@ def mapping_rows() -> tuple[list[tuple[int, tuple[int, ...], int]], list[tuple[i
         d = unicodedata.decomposition(ch)
         kind = d.split(" ")[0] if d.startswith("<") else ""
         cp = ord(ch)
-        same = not kind or kind in SAME_LOOK or kind == "<compat>" and (0xFB00 <= cp <= 0xFB17 or cp in (0x2026, 0xB5))
+        same = not kind or kind in SAME_LOOK or kind == "<compat>" and any(cp in r for r in SAME_COMPAT)
+        if ch in LOOK_ALIKES:
+            return LOOK_ALIKES[ch]
         if not d or not same:
-            return LOOK_ALIKES.get(ch, ch)
+            name = unicodedata.name(ch, "")
+            letter = name[-1:].lower() if name.startswith("LATIN LETTER SMALL CAPITAL ") and name[-2] == " " else ""
+            return (letter if letter in SMALL_LIKE_CAPITAL else letter.upper()) or ch
         return "".join(full(chr(int(x, 16))) for x in d.split(" ")[bool(kind) :])
 
     composed = []
@@ -59,6 +74,8 @@ def mapping_rows() -> tuple[list[tuple[int, tuple[int, ...], int]], list[tuple[i
             continue  # composed Hangul is what recomposition would give again
         if category == "Cf" or 0xFE00 <= cp <= 0xFE0F or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0):
             parts: tuple[int, ...] = ()
+        elif category == "Cc" and cp not in (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85):
+            parts = ()  # other control characters aren't drawn
         elif category == "Zs":
             parts = (0x20,)
         elif category in ("Zl", "Zp") or cp in (0x85, 0x0B, 0x0C):
@@ -109,7 +126,7 @@ def one_form(texts: list[str], mapping: Mapping | None = None) -> list[str]:
     texts = [t.replace("\r\n", "\n").replace("\r", "\n") for t in texts]
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
     ends = np.cumsum([len(t) for t in texts])
-    odd = np.flatnonzero(points >= 0x80)
+    odd = np.flatnonzero((points >= 0x7F) | (points < 0x20) & (points != 0x09) & (points != 0x0A))
     if not len(odd):
         return texts
     head = points.copy()
@@ -153,7 +170,7 @@ def one_form(texts: list[str], mapping: Mapping | None = None) -> list[str]:
 
 
 def consistent(column: str | Column) -> Column:
-    """Column of texts in their consistent form; null stays null. Texts of ASCII without CR are fixed points and stay in the JVM."""
+    """Column of texts in their consistent form; null stays null. Texts of printable ASCII, tabs and line feeds are fixed points and stay in the JVM."""
 
     tables = SparkSession.getActiveSession().sparkContext.broadcast(mapping_rows())  # a few thousand rows, bounded by Unicode
 
@@ -167,7 +184,7 @@ def consistent(column: str | Column) -> Column:
             yield out
 
     c = F.col(column) if isinstance(column, str) else column
-    odd = c.rlike(r"[^\x00-\x0A\x0E-\x7F]")
+    odd = c.rlike(ODD)
     return F.when(odd, formed(F.when(odd, c))).otherwise(c)
 
 
@@ -177,21 +194,77 @@ def canonical_texts(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return formed.select(id_column, "canonical", (F.col("canonical") != F.col("_t")).alias("changed"))
 
 
+def mapping_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mapping as tables, bounded by Unicode: (ch, parts) of characters that change, (ch, class) of combining marks, (pair, made) of compositions."""
+    rows, composed = mapping_rows()
+    text = lambda cps: "".join(map(chr, cps))
+    parts = [(chr(cp), [chr(x) for x in p]) for cp, p, _ in rows if p != (cp,)]
+    classes = [(chr(cp), cls) for cp, _, cls in rows if cls]
+    made = [(text((a, b)), chr(c)) for a, b, c in composed]
+    return (
+        spark.createDataFrame(parts, "ch string, parts array<string>"), spark.createDataFrame(classes, "ch string, class int"), spark.createDataFrame(made, "pair string, made string")
+    )
+
+
+def digest(c: Column) -> Column:
+    return F.unhex(F.md5(c.cast("binary")))
+
+
+def forms_by_joins(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, variant, canonical) of the rows with a text: variant is the 128-bit hash of the text, canonical the same form as of consistent, step by step on tables.
+
+    Texts are exploded to positioned characters, joined with the broadcast mapping tables (bounded by Unicode), marks are ordered by class behind their base,
+    composed with it, and the strings rebuilt. Runs of characters that can't change stay together as one piece, and texts of such characters alone aren't
+    exploded at all. Rows with the same id are told apart by their texts; repeated rows give one row or several equal ones.
+    """
+    parts, classes, made = mapping_tables(df.sparkSession)
+    known = df.filter(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
+    plain = known.filter(~F.col("t").rlike(ODD)).select("id", digest(F.col("t")).alias("variant"), F.col("t").alias("canonical"))
+    texts = known.filter(F.col("t").rlike(ODD)).select("id", digest(F.col("t")).alias("variant"), F.regexp_replace("t", "\r\n?", "\n").alias("t")).dropDuplicates(["id", "variant"])
+    # Runs of unchanging characters but for their last one, which a mark may follow; then single characters. An empty piece goes first, so no text is lost.
+    piece = r"[\t\n\x20-\x7E]+(?=[\t\n\x20-\x7E])|(?s:.)"
+    pieces = F.concat(F.array(F.lit("")), F.regexp_extract_all("t", F.lit(f"({piece})"), 1))
+    points = texts.select("id", "variant", F.posexplode(pieces).alias("at", "ch"))
+    mapped = points.join(F.broadcast(parts), "ch", "left").withColumn("parts", F.coalesce("parts", F.array("ch")))
+    single = mapped.select("id", "variant", "at", F.posexplode("parts").alias("inner", "ch")).join(F.broadcast(classes), "ch", "left").withColumn("class", F.coalesce("class", F.lit(0)))
+    place = Window.partitionBy("id", "variant").orderBy("at", "inner")  # one text at a time
+    based = single.withColumn("base", F.sum(F.when(F.col("class") == 0, 1).otherwise(0)).over(place))
+    # Most pieces have no mark behind them; only runs with marks are gathered, put in order and composed.
+    marked = based.groupBy("id", "variant", "base").agg(F.sort_array(F.collect_list(F.struct("class", "at", "inner", "ch"))).alias("run"))
+    pairs = F.broadcast(made.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("pair", "made"))).alias("pairs")))
+
+    def compose(held: Column, mark: Column) -> Column:
+        """A mark composes with the base where Unicode has the pair and no mark of its class or a higher one was left in between."""
+        whole = F.try_element_at(F.col("pairs"), F.concat(held["base"], mark["ch"]))
+        fits = whole.isNotNull() & (mark["class"] > held["last"])
+        return F.when(fits, F.struct(whole.alias("base"), held["rest"].alias("rest"), held["last"].alias("last"))).otherwise(
+            F.struct(held["base"].alias("base"), F.concat(held["rest"], mark["ch"]).alias("rest"), F.greatest(held["last"], mark["class"]).alias("last"))
+        )
+
+    start = F.struct(F.col("run")[0]["ch"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+    joined = F.aggregate(F.slice("run", 2, F.size("run")), start, compose, lambda x: F.concat(x["base"], x["rest"]))
+    formed = marked.join(pairs).select("id", "variant", "base", F.when(F.size("run") == 1, F.col("run")[0]["ch"]).otherwise(joined).alias("text"))
+    rebuilt = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", "text"))), lambda x: x["text"]), "")
+    return plain.unionByName(formed.groupBy("id", "variant").agg(rebuilt.alias("canonical")))
+
+
+def canonical_by_joins(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, canonical) of the rows with a text, by forms_by_joins."""
+    return forms_by_joins(df, id_column, text_column).select(F.col("id").alias(id_column), "canonical")
+
+
 def same_look_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b): ids whose whole texts look the same but aren't equal, the smaller first.
 
-    Only ids and 128-bit hashes of the text and of its form are shuffled. Equal texts count as one
+    Forms come from forms_by_joins. Then only ids and 128-bit hashes of the text and of its form are shuffled. Equal texts count as one
     variant: a look with one variant has no pairs and leaves before the join. Null texts are left out.
     """
-    digest = lambda c: F.unhex(F.md5(c))
-    texts = spread(df.filter(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("t")))
-    keys = (
-        texts.select("id", "t", consistent("t").alias("c"))
-        .select("id", digest(F.col("c").cast("binary")).alias("look"), digest(F.col("t").cast("binary")).alias("variant"))
-    )
-    keys = written(keys)
+    texts = spread(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("t")))
+    keys = written(forms_by_joins(texts, "id", "t").select("id", digest(F.col("canonical")).alias("look"), "variant"))
     varied = keys.groupBy("look").agg(F.min("variant").alias("lo"), F.max("variant").alias("hi")).filter("lo <> hi").select("look")
     members = written(keys.join(varied, "look"))
-    a = members.select("look", F.col("id").alias("doc_id_a"), F.col("variant").alias("va"))
-    b = members.select("look", F.col("id").alias("doc_id_b"), F.col("variant").alias("vb"))
-    return a.join(b, "look").filter("doc_id_a < doc_id_b and va <> vb").select("doc_id_a", "doc_id_b").distinct()
+    # Variants meet once, then their members are listed: a text repeated many times is one row here.
+    variants = members.select("look", "variant").distinct()
+    pairs = variants.withColumnRenamed("variant", "va").join(variants.withColumnRenamed("variant", "vb"), "look").filter("va < vb").drop("look")
+    pairs = pairs.join(members.select(F.col("variant").alias("va"), F.col("id").alias("a")), "va").join(members.select(F.col("variant").alias("vb"), F.col("id").alias("b")), "vb")
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
