@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -194,15 +195,28 @@ def canonical_texts(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return formed.select(id_column, "canonical", (F.col("canonical") != F.col("_t")).alias("changed"))
 
 
-def mapping_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mapping as tables, bounded by Unicode: (ch, parts) of characters that change, (ch, class) of combining marks, (pair, made) of compositions."""
+@lru_cache(1)
+def still_class() -> str:
+    """Regex class of characters that keep their form wherever no mark follows: printable ASCII, tabs, line feeds, and by rule from the mapping those of U+00A1 to U+00FF (a small class is searched fast)."""
+    own = [cp for cp in range(0xA1, 0x100) if unicodedata.category(chr(cp)) != "Cn" and not unicodedata.combining(chr(cp)) and one_form([chr(cp)]) == [chr(cp)]]
+    ranges: list[list[int]] = []
+    for cp in own:
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return r"\t\n\x20-\x7E" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in ranges)
+
+
+def mapping_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, Column]:
+    """The mapping, bounded by Unicode: tables (ch, parts) of characters that change and (ch, class) of combining marks, and a constant map from (base, mark) to their composition."""
     rows, composed = mapping_rows()
     text = lambda cps: "".join(map(chr, cps))
     parts = [(chr(cp), [chr(x) for x in p]) for cp, p, _ in rows if p != (cp,)]
     classes = [(chr(cp), cls) for cp, _, cls in rows if cls]
-    made = [(text((a, b)), chr(c)) for a, b, c in composed]
+    made = json.dumps({text((a, b)): chr(c) for a, b, c in composed})
     return (
-        spark.createDataFrame(parts, "ch string, parts array<string>"), spark.createDataFrame(classes, "ch string, class int"), spark.createDataFrame(made, "pair string, made string")
+        spark.createDataFrame(parts, "ch string, parts array<string>"), spark.createDataFrame(classes, "ch string, class int"), F.from_json(F.lit(made), "map<string, string>")
     )
 
 
@@ -217,25 +231,26 @@ def forms_by_joins(df: DataFrame, id_column: str = "doc_id", text_column: str =
     composed with it, and the strings rebuilt. Runs of characters that can't change stay together as one piece, and texts of such characters alone aren't
     exploded at all. Rows with the same id are told apart by their texts; repeated rows give one row or several equal ones.
     """
-    parts, classes, made = mapping_tables(df.sparkSession)
+    parts, classes, pairs = mapping_tables(df.sparkSession)
     known = df.filter(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
-    plain = known.filter(~F.col("t").rlike(ODD)).select("id", digest(F.col("t")).alias("variant"), F.col("t").alias("canonical"))
-    texts = known.filter(F.col("t").rlike(ODD)).select("id", digest(F.col("t")).alias("variant"), F.regexp_replace("t", "\r\n?", "\n").alias("t")).dropDuplicates(["id", "variant"])
+    still = still_class()
+    odd = F.col("t").rlike(ODD) & F.col("t").rlike(f"[^{still}]")  # the first is the cheaper one
+    plain = known.filter(~odd).select("id", digest(F.col("t")).alias("variant"), F.col("t").alias("canonical"))
+    texts = known.filter(odd).select("id", digest(F.col("t")).alias("variant"), F.regexp_replace("t", "\r\n?", "\n").alias("t")).dropDuplicates(["id", "variant"])
     # Runs of unchanging characters but for their last one, which a mark may follow; then single characters. An empty piece goes first, so no text is lost.
-    piece = r"[\t\n\x20-\x7E]+(?=[\t\n\x20-\x7E])|(?s:.)"
+    piece = f"[{still}]+(?=[{still}])|(?s:.)"
     pieces = F.concat(F.array(F.lit("")), F.regexp_extract_all("t", F.lit(f"({piece})"), 1))
     points = texts.select("id", "variant", F.posexplode(pieces).alias("at", "ch"))
     mapped = points.join(F.broadcast(parts), "ch", "left").withColumn("parts", F.coalesce("parts", F.array("ch")))
     single = mapped.select("id", "variant", "at", F.posexplode("parts").alias("inner", "ch")).join(F.broadcast(classes), "ch", "left").withColumn("class", F.coalesce("class", F.lit(0)))
     place = Window.partitionBy("id", "variant").orderBy("at", "inner")  # one text at a time
     based = single.withColumn("base", F.sum(F.when(F.col("class") == 0, 1).otherwise(0)).over(place))
-    # Most pieces have no mark behind them; only runs with marks are gathered, put in order and composed.
+    # Most runs are one piece; a mark composes with its base by a constant map, which is only looked into for marks.
     marked = based.groupBy("id", "variant", "base").agg(F.sort_array(F.collect_list(F.struct("class", "at", "inner", "ch"))).alias("run"))
-    pairs = F.broadcast(made.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("pair", "made"))).alias("pairs")))
 
     def compose(held: Column, mark: Column) -> Column:
         """A mark composes with the base where Unicode has the pair and no mark of its class or a higher one was left in between."""
-        whole = F.try_element_at(F.col("pairs"), F.concat(held["base"], mark["ch"]))
+        whole = F.try_element_at(pairs, F.concat(held["base"], mark["ch"]))
         fits = whole.isNotNull() & (mark["class"] > held["last"])
         return F.when(fits, F.struct(whole.alias("base"), held["rest"].alias("rest"), held["last"].alias("last"))).otherwise(
             F.struct(held["base"].alias("base"), F.concat(held["rest"], mark["ch"]).alias("rest"), F.greatest(held["last"], mark["class"]).alias("last"))
@@ -243,7 +258,7 @@ def forms_by_joins(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     start = F.struct(F.col("run")[0]["ch"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
     joined = F.aggregate(F.slice("run", 2, F.size("run")), start, compose, lambda x: F.concat(x["base"], x["rest"]))
-    formed = marked.join(pairs).select("id", "variant", "base", F.when(F.size("run") == 1, F.col("run")[0]["ch"]).otherwise(joined).alias("text"))
+    formed = marked.select("id", "variant", "base", F.when(F.size("run") == 1, F.col("run")[0]["ch"]).otherwise(joined).alias("text"))
     rebuilt = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", "text"))), lambda x: x["text"]), "")
     return plain.unionByName(formed.groupBy("id", "variant").agg(rebuilt.alias("canonical")))
 

@@ -168,8 +168,9 @@ class Mixture:
         """
         got = self.records().groupBy("source").agg(F.sum("size").alias("reached"), F.max("pass").alias("repeats"))
         out = self._plan().join(got, "source", "left").withColumns({"reached": F.coalesce("reached", F.lit(0)), "repeats": F.coalesce("repeats", F.lit(0))})
-        exhausted = F.col("reached") == F.col("size") * F.col("max_repeats")
-        below = F.col("reached") * 100 < F.col("weight_pct") * F.lit(self.total)
+        wide = lambda c: c.cast("decimal(38,0)")
+        exhausted = wide(F.col("reached")) == wide(F.col("size")) * F.col("max_repeats")
+        below = wide(F.col("reached")) * 100 < wide(F.lit(self.total)) * F.col("weight_pct")
         # One row per target source, so a window without a partition is no bottleneck.
         return out.withColumn("_all", F.sum("reached").over(Window.partitionBy())).select(
             "source", "weight_pct", "max_repeats", "size", "goal", "part", "reached", "repeats", (~(exhausted & below)).alias("in_reach"), F.round("tempered_share", 6).alias("tempered_share"),

@@ -112,6 +112,11 @@ def test_blocks_have_all_sources_in_their_share(spark):
     assert len({(r.id, r["pass"]) for r in got}) == len(got)
 
 
+def test_large_sizes(spark):
+    m = mixture(spark, [(i, "ab"[i % 2], 10**12) for i in range(4)], [("a", 90, 1), ("b", 10, 1)])
+    assert {r.source: r.in_reach for r in m.report().collect()} == {"a": False, "b": True}
+
+
 def test_budgets_under_caps():
     assert filled_budgets({"a": 100, "b": 10, "c": 1000}, {"a": 50, "b": 30, "c": 20}, 200) == {"a": 100, "b": 10, "c": 90}
     assert filled_budgets({"a": 5, "b": 5}, {"a": 1, "b": 0}, 200) == {"a": 5, "b": 0} and filled_budgets({}, {}, 5) == {}
