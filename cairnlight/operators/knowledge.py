@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlight.operators.components import connected_components
-from cairnlight.operators.ranking import global_rank
+from cairnlight.operators.ranking import global_rank, quantile
 from cairnlight.session import written
 
 
@@ -76,7 +76,8 @@ def pruned(nodes: DataFrame, edges: DataFrame, min_frequency: int = 2, min_degre
     if ego is not None:
         kept = kept.join(F.broadcast(ego), "title", "left_anti")
     left = edges.join(kept.select(F.col("title").alias("source")), "source", "left_semi").join(kept.select(F.col("title").alias("target")), "target", "left_semi")
-    floor = left.agg(F.percentile("weight", F.lit(percentile)).alias("_floor"))
+    left = written(left.select("source", "target", "weight"))
+    floor = quantile(left, "weight", percentile).withColumnRenamed("quantile", "_floor")
     return left.join(F.broadcast(floor)).filter("weight >= _floor").select("source", "target", "weight")
 
 

@@ -89,3 +89,29 @@ def global_rank(df: DataFrame, value: str, rank: str, order: list[str] | None =
     upto = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     values = rows.withColumn("_i", upto).join(offsets, "_b").select("_b", "_v", (F.col("_i") + F.col("_o") + 1).cast("bigint").alias(rank))
     return keyed.join(values, ["_b", "_v"]).drop("_b", "_v")
+
+
+def quantile(df: DataFrame, value: str, q: float, buckets: int = 256) -> DataFrame:
+    """(quantile): the exact, linearly interpolated quantile of a numeric column, as one row; null where there is no value.
+
+    Values are counted per range bucket (cut at approximate quantiles) and only the buckets that hold the two values beside the wanted place are sorted, so no
+    task holds the column.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    bounds = sorted(set(known.approxQuantile("_v", [i / buckets for i in range(1, buckets)], 0.001)))
+    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    counted = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.size(F.filter(edges, lambda b: b < F.col("_v"))))
+    sizes = {r["_b"]: r["n"] for r in counted.groupBy("_b").agg(F.sum("_n").alias("n")).collect()}  # at most `buckets` rows
+    place = q * (sum(sizes.values()) - 1)
+    low, high, before, wanted = int(place // 1), int(-(-place // 1)), 0, {}
+    for b in sorted(sizes):
+        if before <= high and low < before + sizes[b]:
+            wanted[b] = before
+        before += sizes[b]
+    if not wanted:
+        return df.sparkSession.createDataFrame([(None,)], "quantile double")
+    offsets = df.sparkSession.createDataFrame(sorted(wanted.items()), "_b int, _o bigint")
+    upto = F.sum("_n").over(Window.partitionBy("_b").orderBy("_v")) + F.col("_o")
+    near = counted.join(F.broadcast(offsets), "_b").withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
+    at = lambda k: F.max(F.when((F.col("_from") <= k) & (F.col("_to") > k), F.col("_v")))
+    return near.agg(at(low).alias("a"), at(high).alias("b")).select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(place - low)).alias("quantile"))

@@ -79,7 +79,7 @@ def search_dynamic_selection(spark: SparkSession, d: str) -> DataFrame:
     return X.selected_communities(t, "rating", 2)
 
 
-@query("""WITH r AS (SELECT source AS community, doc_id AS item, n_chars AS rank, n_chars // 4 AS cost FROM documents WHERE source IS NOT NULL AND doc_id < 200), t AS (SELECT community, sum(cost) AS cost FROM r GROUP BY community),
+@query("""WITH r AS (SELECT source AS community, doc_id AS item, n_chars AS rank, n_chars // 4 AS cost FROM documents WHERE source IS NOT NULL), t AS (SELECT community, sum(cost) AS cost FROM r GROUP BY community),
     l AS (SELECT *, sum(cost) OVER (PARTITION BY community ORDER BY rank DESC, item ROWS UNBOUNDED PRECEDING) AS run FROM r WHERE community IN (SELECT community FROM t WHERE cost > 9000) AND community <> 'progress_note')
     SELECT community, 'valid' AS kind, cost FROM t WHERE cost <= 9000 UNION ALL SELECT community, 'trimmed', sum(cost) FROM l WHERE run <= 9000 GROUP BY community
     UNION ALL SELECT community, 'substituted', 700 FROM t WHERE community = 'progress_note' AND cost > 9000""")

@@ -144,20 +144,23 @@ def graph_communities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(old_patient_id)) AS s, lower(trim(new_patient_id)) AS t FROM patient_merges),
-    starts AS (SELECT s AS node FROM e WHERE s < '4' AND s NOT IN (SELECT t FROM e)), r AS (SELECT node FROM starts UNION SELECT t FROM r JOIN e ON s = node) SELECT node FROM r""")
+    starts AS (SELECT s AS node FROM e WHERE s NOT IN (SELECT t FROM e WHERE t IS NOT NULL)), r AS (SELECT node FROM starts UNION SELECT t FROM r JOIN e ON s = node) SELECT node FROM r""")
 def graph_forward_reach(spark: SparkSession, d: str) -> DataFrame:
     e = written(merges(spark, d))
-    starts = e.filter("source < '4'").select(F.col("source").alias("node")).join(e.select(F.col("target").alias("node")), "node", "left_anti")
+    starts = e.select(F.col("source").alias("node")).join(e.select(F.col("target").alias("node")), "node", "left_anti")
     return K.reachable(e, starts)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(old_patient_id)) AS s, lower(trim(new_patient_id)) AS t FROM patient_merges),
-    ends AS (SELECT max(t) AS node FROM e), r AS (SELECT node FROM ends UNION SELECT s FROM r JOIN e ON t = node WHERE s >= '2') SELECT node FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(old_patient_id)) AS s, lower(trim(new_patient_id)) AS t FROM patient_merges WHERE old_patient_id IS NOT NULL AND new_patient_id IS NOT NULL),
+    blocked AS (SELECT t AS node FROM e GROUP BY t HAVING count(*) >= 2), ends AS (SELECT DISTINCT t AS node FROM e WHERE t NOT IN (SELECT s FROM e) AND t NOT IN (SELECT node FROM blocked)),
+    r AS (SELECT node FROM ends UNION SELECT s FROM r JOIN e ON t = node WHERE s NOT IN (SELECT node FROM blocked)) SELECT node FROM r""")
 def graph_backward_reach(spark: SparkSession, d: str) -> DataFrame:
+    """All that leads to a last node without passing a node into which several were merged."""
     e = written(merges(spark, d))
     back = e.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    blocked = e.select(F.explode(F.array("source", "target")).alias("node")).filter("node < '2'").distinct()
-    return K.reachable(back, e.agg(F.max("target").alias("node")), blocked)
+    blocked = written(e.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("node"))
+    ends = e.select(F.col("target").alias("node")).distinct().join(e.select(F.col("source").alias("node")), "node", "left_anti")
+    return K.reachable(back, ends, blocked)
 
 
 @query(f"""WITH {EDGES}, s AS (SELECT title FROM nodes ORDER BY frequency DESC, title LIMIT 5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,27 +12,35 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(app: str = "cairnlight", cores: int | str = "*", **conf: str) -> SparkSession:
-    """A session with UTC, AQE and skew handling on; further settings by keyword."""
+def session(app: str = "cairnlight", cores: int | str | None = None, **conf: str) -> SparkSession:
+    """A session with UTC, AQE and skew handling on; further settings by keyword.
+
+    The master is that of the submitter; cores asks for a local one. The number of shuffle partitions isn't set here: it belongs to the cluster's or the caller's settings.
+    The package is sent to workers that can't import it.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]")
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, one of our own (local runs and tests)."""
+    """The folder named in spark.checkpoint.dir; only where that is unset and the master is local, one of our own (local runs and tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cairnlight-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -23,7 +23,7 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = No
 def write_csv_text(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with a header, \\n line ends and quotes only where needed; one_file for results known to be small."""
     out = df.coalesce(1) if one_file else df
-    out.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').option("emptyValue", "").csv(path)
+    out.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -55,8 +55,8 @@ def json_map_rows(df: DataFrame, column: str, value_schema: str, key: str = "key
     return df.select(F.explode(parsed).alias(key, "_v")).select(key, "_v.*")
 
 
-def read_documents(spark: SparkSession, path: str, kind: str, text: str = "text", title: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Documents (id, title, text) from text, csv, json or parquet files below path; unreadable files are skipped, pattern is a glob of names."""
+def read_documents(spark: SparkSession, path: str, kind: str, text: str = "text", title: str | None = None, pattern: str | None = None, lines: bool = False) -> DataFrame:
+    """Documents (id, title, text) from text, csv, json or parquet files below path; unreadable files are skipped, pattern is a glob of names, lines says that JSON is one object a line."""
     reader = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -64,9 +64,9 @@ def read_documents(spark: SparkSession, path: str, kind: str, text: str = "text"
     if kind == "text":
         rows = reader.text(path, wholetext=True).select(F.col("value").alias("text"), name.alias("title"))
     elif kind == "csv":
-        rows = reader.option("header", True).csv(path).select(F.col(text).alias("text"), (F.col(title) if title else name).alias("title"))
+        rows = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select(F.col(text).alias("text"), (F.col(title) if title else name).alias("title"))
     elif kind == "json":
-        rows = reader.option("multiLine", True).json(path).select(F.col(text).alias("text"), (F.col(title) if title else name).alias("title"))
+        rows = reader.option("multiLine", not lines).json(path).select(F.col(text).alias("text"), (F.col(title) if title else name).alias("title"))
     elif kind == "parquet":
         rows = reader.parquet(path).select(F.col(text).alias("text"), (F.col(title) if title else name).alias("title"))
     else:
