@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlight.session import written
+
 
 def hash_order(*columns: str | Column, seed: int = 0) -> Column:
     """A pseudo-random but repeatable 64-bit order key."""
@@ -100,7 +102,7 @@ def quantile(df: DataFrame, value: str, q: float, buckets: int = 256) -> DataFra
     known = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
     bounds = sorted(set(known.approxQuantile("_v", [i / buckets for i in range(1, buckets)], 0.001)))
     edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    counted = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.size(F.filter(edges, lambda b: b < F.col("_v"))))
+    counted = written(known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.size(F.filter(edges, lambda b: b < F.col("_v")))))
     sizes = {r["_b"]: r["n"] for r in counted.groupBy("_b").agg(F.sum("_n").alias("n")).collect()}  # at most `buckets` rows
     place = q * (sum(sizes.values()) - 1)
     low, high, before, wanted = int(place // 1), int(-(-place // 1)), 0, {}
