@@ -39,6 +39,39 @@ def test_cuts_are_natural():
     assert all(b == len(NOTE) or NOTE[b - 1] in "\n " or NOTE[b - 1] == "X" for _, b, _ in cut_text(NOTE, 60, 0)), ends
 
 
+def pieces_of(text, limit):
+    return [text[a:b] for a, b, _ in cut_text(text, limit, 0)]
+
+
+def test_sections_keep_to_themselves():
+    text = "# A\naaa\n## A1\nbbb\n## A2\nddddd\n# B\nee\n"
+    assert pieces_of(text, 20) == ["# A\naaa\n## A1\nbbb\n", "## A2\nddddd\n", "# B\nee\n"]
+
+
+def test_siblings_are_merged_inside_their_parent():
+    text = "# A\n## A1\nx\n## A2\ny\n## A3\nz\n# B\n## B1\nw\n"
+    assert pieces_of(text, 24) == ["# A\n## A1\nx\n## A2\ny\n", "## A3\nz\n", "# B\n## B1\nw\n"]
+
+
+def test_lists_are_cut_by_indentation():
+    text = "- one\n  - in one\n  - in one too\n- two\n  - in two\n"
+    assert pieces_of(text, 36) == ["- one\n  - in one\n  - in one too\n", "- two\n  - in two\n"]
+    assert pieces_of(text, 20) == ["- one\n  - in one\n", "  - in one too\n", "- two\n  - in two\n"]
+
+
+def test_markup_is_cut_by_nesting():
+    text = "<div><p>aaaa</p><p>bbbb</p></div><div><p>cc</p></div>"
+    assert pieces_of(text, 26) == ["<div><p>aaaa</p>", "<p>bbbb</p></div>", "<div><p>cc</p></div>"]
+    assert "".join(pieces_of("<ul><li>a<li>b</ul></p><div>" * 5, 9)) == "<ul><li>a<li>b</ul></p><div>" * 5
+
+
+def test_headings_go_with_what_follows():
+    text = "PLAN\n" + "word " * 12 + "\n"
+    assert pieces_of(text, 30)[0].startswith("PLAN\nword")
+    deep = "".join("#" * (i % 6 + 1) + f" h{i}\ntext\n" for i in range(3000)) + "".join(" " * i + "- x\n" for i in range(400))
+    assert "".join(pieces_of(deep, 50)) == deep
+
+
 def test_oversized_table(spark):
     df = spark.createDataFrame([("a", NOTE, "clash"), ("b", None, ""), ("c", "short", ""), ("d", "w " * 50_000, "")], "id string, text string, piece string")
     limits = spark.createDataFrame([("t", "text", "characters", 60, 10), ("u", "text", "characters", None, 1)], "table_name string, field_name string, measure string, max_size int, overlap int")
