@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlight.llm.sampling import normal_condition
 from cairnlight.operators.components import connected_components
-from cairnlight.operators.ranking import hash_rank
+from cairnlight.operators.ranking import hash_rank, running_total
+from cairnlight.session import written
 
 #: Fixed value: a uuid in text.
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -41,8 +44,8 @@ def related_ids(people: DataFrame) -> DataFrame:
 def closest_subset(sizes: dict[int, int], goal: int) -> dict[int, int]:
     """How many items of each size to take so that their sum comes closest to goal (the smaller sum on a tie).
 
-    Reachable sums are the bits of one integer; multiplicities are split into powers of two, and the
-    choice is read back through the stages.
+    Sums that can be reached are the set bits of one table up to goal and the largest size; multiplicities are split into powers of two. Each sum keeps
+    the part by which it was first reached, and the choice is read back along these: a part that first reaches a sum stands on one reached by earlier parts.
     """
     parts: list[tuple[int, int]] = []
     for size, n in sorted(sizes.items()):
@@ -51,66 +54,60 @@ def closest_subset(sizes: dict[int, int], goal: int) -> dict[int, int]:
             take = min(k, n)
             parts.append((size, take))
             n, k = n - take, k * 2
-    stages = [1]
-    for size, take in parts:
-        stages.append(stages[-1] | stages[-1] << (size * take))
-    reach, goal = stages[-1], max(0, goal)
-    low = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    above = reach >> (goal + 1)
-    best = low
-    if above:
-        high = goal + 1 + (above & -above).bit_length() - 1
-        if high - goal < goal - low:
-            best = high
+    goal = max(0, goal)
+    top = min(sum(s * k for s, k in parts), goal + max(sizes, default=0))
+    first = np.full(top + 1, -1, dtype=np.int32)  # -1: not reached
+    reached = np.zeros(top + 1, dtype=bool)
+    reached[0] = True
+    for i, (size, take) in enumerate(parts):
+        w = size * take
+        if w <= top:
+            new = np.flatnonzero(reached[: top + 1 - w] & ~reached[w:]) + w
+            reached[new], first[new] = True, i
+    sums = np.flatnonzero(reached)
+    best = int(sums[np.argmin(np.abs(sums - goal))])  # of two equally close sums the first, which is the smaller
     chosen: dict[int, int] = {}
-    for i in range(len(parts) - 1, -1, -1):
-        size, take = parts[i]
-        if not stages[i] >> best & 1:
-            chosen[size] = chosen.get(size, 0) + take
-            best -= size * take
+    while best:
+        size, take = parts[first[best]]
+        chosen[size] = chosen.get(size, 0) + take
+        best -= size * take
     return chosen
 
 
-def plan_splits(counts: dict[str, dict[int, int]], shares: dict[str, float]) -> list[tuple[str, int, str, int, int]]:
-    """(stratum, size, split, first, last) ranks of persons: who goes where.
+def plan_stratum(sizes: dict[int, int], goals: dict[str, int], shares: dict[str, float], table: int = 1 << 24) -> list[tuple[int, str, int, int]]:
+    """(size, split, first, last) ranks of a stratum's persons of each size: who goes where.
 
-    counts: persons by stratum and size. Of each size every split first gets its part, rounded down, of all
-    persons but a reserve that is large enough to make up for the largest person; the reserve is dealt by
-    subset sums so that each split's total comes closest to its goal. What one stratum misses is carried over to the next,
-    so the overall shares stay close as well. The last split takes what is left. Sizes above a million records
-    are compared in coarser units, so the bitsets stay small.
+    sizes: number of persons by size. Of each size every split first gets its part, rounded down, of all persons but a reserve that is large
+    enough to make up for the largest person; the reserve is dealt by subset sums so that each split's total comes closest to its goal. The last split, which has no goal, takes
+    what is left. table is the longest table of sums: where the reserve of a stratum holds more records (persons of tens of thousands of ids), sums are compared in units of several records.
     """
-    names, out = list(shares), []
-    carry = dict.fromkeys(names, 0.0)
-    for stratum in sorted(counts):
-        sizes = dict(counts[stratum])
-        total, largest = sum(s * n for s, n in sizes.items()), max(sizes)
-        unit = max(1, largest // 1_000_000)
-        dealt = {s: max(0, n - -(-2 * largest // s)) for s, n in sizes.items()}
-        taken = {name: {s: int(n * shares[name]) for s, n in dealt.items()} for name in names}
-        left = {s: n - sum(taken[name][s] for name in names) for s, n in sizes.items()}
-        for name in names[:-1]:
-            goal = shares[name] * total + carry[name]
-            coarse: dict[int, list[int]] = {}
-            for s in sorted(left):
-                coarse.setdefault(max(1, round(s / unit)), []).append(s)
-            wanted = goal - sum(s * k for s, k in taken[name].items())
-            more = closest_subset({c: sum(left[s] for s in group) for c, group in coarse.items()}, round(wanted / unit))
-            for c, k in more.items():
-                for s in coarse[c]:
-                    now = min(k, left[s])
-                    taken[name][s] += now
-                    left[s] -= now
-                    k -= now
-            carry[name] = goal - sum(s * k for s, k in taken[name].items())
-        for s, k in left.items():
-            taken[names[-1]][s] += k
-        for s in sorted(sizes):
-            start = 1
-            for name in names:
-                if k := taken[name][s]:
-                    out.append((stratum, s, name, start, start + k - 1))
-                    start += k
+    names = list(shares)
+    largest = max(sizes)
+    dealt = {s: max(0, n - -(-2 * largest // s)) for s, n in sizes.items()}
+    taken = {name: {s: int(n * shares[name]) for s, n in dealt.items()} for name in names}
+    left = {s: n - sum(taken[name][s] for name in names) for s, n in sizes.items()}
+    unit = -(-sum(s * n for s, n in left.items()) // table) or 1
+    for name in names[:-1]:
+        coarse: dict[int, list[int]] = {}
+        for s in sorted(left):
+            coarse.setdefault(max(1, round(s / unit)), []).append(s)
+        wanted = goals[name] - sum(s * k for s, k in taken[name].items())
+        more = closest_subset({c: sum(left[s] for s in group) for c, group in coarse.items()}, round(wanted / unit))
+        for c, k in more.items():
+            for s in coarse[c]:
+                now = min(k, left[s])
+                taken[name][s] += now
+                left[s] -= now
+                k -= now
+    for s, k in left.items():
+        taken[names[-1]][s] += k
+    out = []
+    for s in sorted(sizes):
+        start = 1
+        for name in names:
+            if k := taken[name][s]:
+                out.append((s, name, start, start + k - 1))
+                start += k
     return out
 
 
@@ -119,24 +116,38 @@ def assign_splits(people: DataFrame, labels: DataFrame, shares: dict[str, float]
 
     shares: split -> share, in the order of dealing, the last takes the remainder (default test 0.15,
     validation 0.15, train 0.7). A person's stratum is the commonest condition of the ids (ties: the
-    smallest). What goes to the driver is one number for each stratum and person size.
+    smallest). The goals of a stratum are the share of the records up to it in the order of a hash, rounded, less that of the records before it: so they add up
+    to the overall goals whatever the number of strata, and each is within two records of the stratum's own share. Every stratum is planned by a task of its own from
+    its number of persons by size; nothing goes to the driver.
     """
     shares = shares or {"test": 0.15, "validation": 0.15, "train": 0.7}
     named = labels.filter("id is not null").groupBy("id").agg(F.min(normal_condition("condition")).alias("condition"))
     rows = people.join(named, "id", "left").withColumn("condition", F.coalesce("condition", F.lit("")))
     per = rows.groupBy("person", "condition").agg(F.count(F.lit(1)).alias("n"))
-    stratum = per.groupBy("person").agg(
+    stratum = written(per.groupBy("person").agg(
         F.min(F.struct((-F.col("n")).alias("a"), F.col("condition").alias("stratum")))["stratum"].alias("stratum"),
-        F.sum("n").cast("int").alias("size"),
-    )
-    counts: dict[str, dict[int, int]] = {}
-    for r in stratum.groupBy("stratum", "size").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts.setdefault(r["stratum"], {})[r["size"]] = r["n"]
-    plan = people.sparkSession.createDataFrame(
-        plan_splits(counts, shares), "stratum string, size int, split string, first bigint, last bigint"
-    )
+        F.sum("n").alias("size"),
+    ))
+    counts = stratum.groupBy("stratum", "size").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("stratum").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
+    upto = running_total(totals, [], "total", ["stratum"], "upto", seed)
+    names = list(shares)
+    goals, before, after, rest = [], F.col("upto") - F.col("total"), F.col("upto"), 1.0
+    for name in names:  # each split has its part of the records that no split before it has, so no two want the same record
+        part = min(1.0, shares[name] / rest) if rest > 0 else 0.0
+        a, b = (F.floor(x * part + 0.5).cast("bigint") for x in (before, after))
+        goals.append(b - a)
+        before, after, rest = before - a, after - b, rest - shares[name]
+    wanted = counts.join(upto.select("stratum", F.array(*goals).alias("goals")), "stratum")
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = dict(zip(pdf["size"].tolist(), pdf["n"].tolist()))
+        found = plan_stratum(sizes, dict(zip(names, pdf["goals"].iloc[0])), shares)
+        return pd.DataFrame([(pdf["stratum"].iloc[0], *x) for x in found], columns=["stratum", "size", "split", "first", "last"])
+
+    planned = wanted.groupBy("stratum").applyInPandas(plan, "stratum string, size bigint, split string, first bigint, last bigint")
     ranked = hash_rank(stratum, ["stratum", "size"], ["person"], "rank", seed)
-    dealt = ranked.join(plan, ["stratum", "size"]).filter("rank between first and last").select("person", "split")
+    dealt = ranked.join(planned, ["stratum", "size"]).filter("rank between first and last").select("person", "split")
     return rows.join(dealt, "person").select("id", "person", F.nullif("condition", F.lit("")).alias("condition"), "split")
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from cairnlight.llm.mixing import filled_budgets, Mixture, bisect_exponent, entropy, tempered
-from cairnlight.llm.packing import container_report, pack, plan_containers
+from cairnlight.llm.packing import container_report, length_class, pack, plan_containers
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -12,7 +12,7 @@ def test_plan_uses_every_item_once(seed):
     rng = random.Random(seed)
     histogram = {rng.randint(1, 512): rng.choice([1, 2, 5, 40, 3000]) for _ in range(rng.randint(0, 60))}
     got = Counter()
-    for need, times in plan_containers(histogram):
+    for need, times in plan_containers(histogram, 512):
         assert times > 0 and sum(c * k for c, k in need.items()) <= 512
         for c, k in need.items():
             got[c] += k * times
@@ -23,7 +23,23 @@ def test_plan_is_tight():
     rng = random.Random(9)
     histogram = Counter(min(512, int(rng.lognormvariate(4.2, 0.9)) + 1) for _ in range(20000))
     used = sum(c * n for c, n in histogram.items())
-    assert used / 512 / sum(t for _, t in plan_containers(dict(histogram))) > 0.985
+    assert used / 512 / sum(t for _, t in plan_containers(dict(histogram), 512)) > 0.985
+
+
+def test_small_items_waste_no_room():
+    assert sum(t for _, t in plan_containers({1: 100_000}, 8192)) == 13
+    rng = random.Random(2)
+    items = [rng.randint(1, 200) for _ in range(50_000)]
+    plan = plan_containers(Counter(length_class(x, 8192) for x in items), 8192)
+    assert sum(items) / 8192 / sum(t for _, t in plan) > 0.985
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 100, 512, 513, 8192, 100_003])
+def test_length_classes(capacity):
+    for x in {1, 2, 63, 64, 127, 128, 129, 255, 256, 257, 300, 511, 4095, capacity - 1, capacity, capacity // 2} & set(range(1, capacity + 1)):
+        c = length_class(x, capacity)
+        assert x <= c <= capacity and c - x <= max(-(-capacity // 512), x // 64)
+    assert len({length_class(x, capacity) for x in range(1, capacity + 1)}) < 2000
 
 
 def sizes(spark, rows):

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from cairnlight.llm.sampling import MatchedSample, divisor_seats, eligible_records
-from cairnlight.llm.splits import assign_splits, closest_subset, patient_of, persons, plan_splits, related_ids, split_report
+from cairnlight.llm.splits import assign_splits, closest_subset, patient_of, persons, plan_stratum, related_ids, split_report
 
 U = "00000000-0000-0000-0000-{:012d}"
 
@@ -122,12 +122,32 @@ def test_closest_subset_against_all_subsets():
 
 @pytest.mark.parametrize("hot", [1, 400])
 def test_plan_covers_everybody_once(hot):
-    counts = {"a": {1: 1000, 2: 33, hot: 1}, "b": {3: 7}, "": {1: 1}}
-    plan = plan_splits(counts, {"test": 0.15, "validation": 0.15, "train": 0.7})
-    for s, sizes in counts.items():
+    shares = {"test": 0.15, "validation": 0.15, "train": 0.7}
+    for sizes in ({1: 1000, 2: 33, hot: 1}, {3: 7}, {1: 1}):
+        total = sum(s * n for s, n in sizes.items())
+        goals = {k: round(v * total) for k, v in shares.items()}
+        plan = plan_stratum(sizes, goals, shares)
         for size, n in sizes.items():
-            ranks = sorted(x for st, z, _, a, b in plan if (st, z) == (s, size) for x in range(a, b + 1))
-            assert ranks == list(range(1, n + 1))
-    total = sum(z * n for c in counts.values() for z, n in c.items())
-    test = sum(z * (b - a + 1) for _, z, name, a, b in plan if name == "test")
-    assert abs(test - 0.15 * total) <= 2
+            assert sorted(x for z, _, a, b in plan if z == size for x in range(a, b + 1)) == list(range(1, n + 1))
+        test = sum(z * (b - a + 1) for z, name, a, b in plan if name == "test")
+        assert abs(test - goals["test"]) <= (0 if len(sizes) > 1 else 1)
+
+
+def test_many_sizes_stay_small():
+    """A thousand sizes of persons: the table of sums stays far below 200 MB and the goal is met."""
+    import tracemalloc
+
+    sizes, shares = {s: 1 for s in range(1, 1001)}, {"test": 0.15, "validation": 0.15, "train": 0.7}
+    tracemalloc.start()
+    plan = plan_stratum(sizes, {"test": 75075, "validation": 75075, "train": 0}, shares)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    assert sum(z * (b - a + 1) for z, name, a, b in plan if name == "test") == 75075
+
+
+def test_many_strata_meet_the_shares(spark):
+    """Conditions that all differ: no stratum can be shared out, the whole can."""
+    labels = spark.createDataFrame([(f"x_{U.format(i)}", f"condition {i}") for i in range(3000)], "id string, condition string")
+    who = persons(labels, spark.createDataFrame([], "old_patient_id string, new_patient_id string"))
+    n = {r.split: r["count"] for r in assign_splits(who, labels).groupBy("split").count().collect()}
+    assert abs(n["test"] - 450) <= 1 and abs(n["validation"] - 450) <= 1 and sum(n.values()) == 3000
