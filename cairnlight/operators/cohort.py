@@ -54,9 +54,16 @@ def quarantine(rows: DataFrame, key: str, text: str, parsed: Column) -> DataFram
     return bad.groupBy(key).agg(F.min(text).alias("problem"))
 
 
-def ordered_rank(df: DataFrame, group: list[str], order: str, rank: str, prefix: int = 2) -> DataFrame:
-    """1-based rank by a text column within group, through buckets of the text's first characters, so that a hot group is many tasks."""
-    keyed = df.withColumn("_b", F.substring(F.col(order), 1, prefix))
+def ordered_rank(df: DataFrame, group: list[str], order: str, rank: str, buckets: int = 64) -> DataFrame:
+    """1-based rank by a column within group (nulls first), through range buckets, so that a hot group is many tasks.
+
+    The bounds are taken from the 16 * buckets values with the smallest hashes, a bounded sample that only decides how even the buckets are; sizes are counted.
+    """
+    sample = df.filter(F.col(order).isNotNull()).select(order).distinct().orderBy(F.xxhash64(order), order).limit(16 * buckets).collect()
+    values = sorted(r[0] for r in sample)
+    bounds = sorted({values[i * len(values) // buckets] for i in range(1, buckets)}) if values else []
+    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
+    keyed = df.withColumn("_b", F.size(F.filter(edges, lambda b: b <= F.col(order))))
     counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -126,9 +133,10 @@ def picked_episode(diagnoses: DataFrame, episodes: DataFrame, key: str, day: str
     return latest.select(key, day, "episode", gap.alias("distance"), (gap <= window_days).alias("in_window"))
 
 
-def stratified_split(records: DataFrame, key: str, stratum: str, shares: list[tuple[str, int]], seed: int = 0) -> DataFrame:
-    """(key, stratum, split) with shares in percent per stratum, by rank of a hash."""
-    ranked = hash_rank(records.select(key, stratum), [stratum], [key], "_r", seed)
+def stratified_split(records: DataFrame, key: str, stratum: str, shares: list[tuple[str, int]], seed: int | None = 0) -> DataFrame:
+    """(key, stratum, split) with shares in percent per stratum, by rank of a hash; without a seed by the order of the key itself."""
+    rows = records.select(key, stratum)
+    ranked = ordered_rank(rows, [stratum], key, "_r") if seed is None else hash_rank(rows, [stratum], [key], "_r", seed)
     sizes = records.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     split, upto = F.lit(None).cast("string"), 0
     place = (F.col("_r") - 1) * 100 / F.col("_n")

@@ -99,54 +99,6 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return per.agg(F.sum(F.coalesce("w", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def label_communities(edges: DataFrame, max_size: int = 10, rounds: int = 8, seed: int = 0) -> DataFrame:
-    """(node, level, community): weighted label propagation per connected component; communities above max_size are divided again.
-
-    A component is folded by one task after the components are found in parallel; what it holds is that component alone.
-    """
-    parts = connected_components(edges, "source", "target")
-    e = edges.join(parts.withColumnRenamed("node", "source"), "source")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        rng = random.Random(seed)
-        rows: list[tuple[str, int, str]] = []
-
-        def divide(links: list[tuple[str, str, float]], level: int) -> None:
-            near: dict[str, dict[str, float]] = {}
-            for a, b, w in links:
-                near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + w
-                near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
-            label = {n: n for n in near}
-            for _ in range(rounds):
-                order, moved = sorted(near), False
-                rng.shuffle(order)
-                for n in order:
-                    pull: dict[str, float] = {}
-                    for o, w in near[n].items():
-                        pull[label[o]] = pull.get(label[o], 0) + w
-                    best = min(pull, key=lambda c: (-pull[c], c))
-                    moved |= best != label[n]
-                    label[n] = best
-                if not moved:
-                    break
-            groups: dict[str, list[str]] = {}
-            for n, c in label.items():
-                groups.setdefault(c, []).append(n)
-            for members in groups.values():
-                name = min(members)
-                rows.extend((n, level, name) for n in members)
-                inner = [x for x in links if x[0] in set(members) and x[1] in set(members)]
-                if len(members) > max_size and len(groups) > 1 and inner:
-                    divide(inner, level + 1)
-
-        divide(list(zip(pdf["source"], pdf["target"], pdf["weight"].astype(float))), 0)
-        return pd.DataFrame(rows, columns=["node", "level", "community"])
-
-    return e.groupBy("component").applyInPandas(fold, "node string, level int, community string")
-
-
 def reachable(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None = None, most: int = 1000) -> DataFrame:
     """(node) reached from starts along source -> target, never passing through blocked nodes (these are not reached either).
 

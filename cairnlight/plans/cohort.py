@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlight.functions.dates import age_on, local_date, loose_date, relative_time, shifted_birthday, year_age
 from cairnlight.functions.stats import normal_p, proportion_difference_ci
-from cairnlight.functions.text import plain_number, times_text, without_tag
+from cairnlight.functions.text import person_uuid, plain_number, times_text, without_tag
 from cairnlight.operators import cohort as C
 from cairnlight.plans.registry import query
 from cairnlight.session import table, written
@@ -141,9 +141,11 @@ def flagship_screen(spark: SparkSession, d: str) -> DataFrame:
     return s.select("feature", "n_pos_with", "n_neg_with", *[F.round(c, 6).alias(c) for c in ("p_pos", "p_neg", "z")])
 
 
-@query()
+@query(f"""WITH {CASES}, zs AS (SELECT feature, CASE WHEN (a + b) > 0 AND (a + b) < np + nn THEN (a / np - b / nn) / sqrt((a + b) / (np + nn) * (1 - (a + b) / (np + nn)) * (1 / np + 1 / nn)) END AS z FROM cont),
+    ps AS (SELECT feature, z, greatest(0.0, 1 - 2 * abs(z) / 3000 / sqrt(2 * pi()) * list_sum(list_transform(generate_series(0, 1000), lambda i: (CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * i / 1000, 2) / 2)))) AS p FROM zs)
+    SELECT feature, round(z, 2) AS z, round(p, 4) AS p, round(least(1.0, p * (SELECT count(*) FROM ps)), 4) AS p_bonferroni FROM ps""")
 def screen_bonferroni(spark: SparkSession, d: str) -> DataFrame:
-    """Two-sided p of each feature and its Bonferroni correction; the normal tail isn't in SQL, so it is tested on known values."""
+    """Two-sided p of each feature and its Bonferroni correction; the SQL integrates the normal density by Simpson's rule."""
     s = C.screen(contingency(spark, d), "feature")
     n = s.count()
     p = s.withColumn("p", normal_p("z"))
@@ -352,12 +354,17 @@ def labels_absence_rate(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("absent").cast("double")), 6).alias("absence_rate"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT DISTINCT lower(regexp_replace(coalesce(condition, ''), '^\s+|\s+$', '', 'g')) AS condition, lower(coalesce(nullif(regexp_extract(lower(trim(id)), '([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$', 1), ''), trim(id))) AS patient FROM test_labels WHERE id IS NOT NULL),
+    c AS (SELECT condition, count(*) AS n FROM l GROUP BY condition), s AS (SELECT patient, min(struct_pack(n := n, condition := condition)).condition AS stratum FROM l JOIN c USING (condition) GROUP BY patient),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(patient), patient) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM s)
+    SELECT patient, stratum, CASE WHEN (k - 1) * 100.0 / n < 50 THEN 'train' WHEN (k - 1) * 100.0 / n < 70 THEN 'validation' ELSE 'test' END AS split FROM r""")
 def labels_stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    """50/20/30 split of the labelled ids per condition, by hash rank; shares and exclusivity are tested."""
-    named = F.coalesce(F.lower(F.regexp_replace("condition", r"^\s+|\s+$", "")), F.lit(""))
-    one = table(spark, d, "test_labels").filter("id is not null").groupBy("id").agg(F.min(named).alias("condition"))
-    return C.stratified_split(one, "id", "condition", [("train", 50), ("validation", 20), ("test", 30)])
+    """50/20/30 split of the labelled patients, each in the stratum of its rarest condition, in the order of the hash of the patient: all ids of a patient are on one side."""
+    named = F.lower(F.regexp_replace(F.coalesce("condition", F.lit("")), r"^\s+|\s+$", ""))
+    own = table(spark, d, "test_labels").filter("id is not null").select(named.alias("condition"), F.lower(person_uuid(F.trim("id"))).alias("patient")).distinct()
+    rare = own.join(own.groupBy("condition").agg(F.count(F.lit(1)).alias("n")), "condition")
+    stratum = rare.groupBy("patient").agg(F.min(F.struct("n", "condition"))["condition"].alias("stratum")).withColumn("key", F.concat(F.md5(F.col("patient").cast("binary")), "patient"))
+    return C.stratified_split(stratum, "key", "stratum", [("train", 50), ("validation", 20), ("test", 30)], seed=None).select(F.expr("substring(key, 33)").alias("patient"), "stratum", "split")
 
 
 @query("""WITH p AS (SELECT lower(trim(condition, chr(9) || ' ')) AS condition, unnest(plan) AS item FROM test_labels WHERE condition IS NOT NULL),

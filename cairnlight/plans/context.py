@@ -60,7 +60,12 @@ def search_global_points(spark: SparkSession, d: str) -> DataFrame:
     return X.global_points(scores.withColumn("cost", F.lit(30)), "source", "cost", 60, rate, 50).select("point", "score")
 
 
-@query()
+@query(f"""WITH {EDGES}, b AS (SELECT source AS a, target AS action, CAST(weight AS DOUBLE) AS w FROM edges UNION ALL SELECT target, source, weight FROM edges),
+    s0 AS (SELECT title AS action, CAST(frequency AS DOUBLE) AS score FROM nodes ORDER BY frequency DESC, title LIMIT 4), c1 AS (SELECT action FROM s0 ORDER BY score DESC, action LIMIT 3),
+    f1 AS (SELECT b.action, max(w) AS score FROM b JOIN c1 ON b.a = c1.action WHERE b.action NOT IN (SELECT action FROM s0) GROUP BY b.action),
+    s1 AS (SELECT action, score, action IN (SELECT action FROM c1) AS answered, 0 AS depth FROM s0 UNION ALL SELECT action, score, FALSE, 1 FROM f1), c2 AS (SELECT action FROM s1 WHERE NOT answered ORDER BY score DESC, action LIMIT 3),
+    f2 AS (SELECT b.action, max(w) AS score FROM b JOIN c2 ON b.a = c2.action WHERE b.action NOT IN (SELECT action FROM s1) GROUP BY b.action)
+    SELECT action, score, answered OR action IN (SELECT action FROM c2) AS answered, depth FROM s1 UNION ALL SELECT action, score, FALSE, 2 FROM f2""")
 def search_drift(spark: SparkSession, d: str) -> DataFrame:
     """Follow-ups are the neighbours in the graph of codes, scored by weight: two rounds of the best three."""
     e = written(edges(spark, d))
@@ -112,8 +117,15 @@ def parse_entity_tuples(spark: SparkSession, d: str) -> DataFrame:
     return parsing.extracted_entities(rows, "unit", "text").select("unit", "title", "type")
 
 
-@query()
+@query("SELECT result_id, coalesce(json_valid(assessment_plan_raw) AND json_type(CASE WHEN json_valid(assessment_plan_raw) THEN assessment_plan_raw END) = 'OBJECT', FALSE) AS strict FROM results WHERE assessment_plan_raw IS NOT NULL")
 def parse_strict_json(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that are strict JSON objects."""
+    r = table(spark, d, "results").filter("assessment_plan_raw is not null")
+    return r.select("result_id", parsing.strict_json("assessment_plan_raw").isNotNull().alias("strict"))
+
+
+@query()
+def parse_repaired_json(spark: SparkSession, d: str) -> DataFrame:
     """Answers that are strict JSON objects, and those that can be repaired; rules are tested on known texts."""
     r = table(spark, d, "results").filter("assessment_plan_raw is not null")
     return r.select("result_id", parsing.strict_json("assessment_plan_raw").isNotNull().alias("strict"), parsing.lenient_json("assessment_plan_raw").isNotNull().alias("repaired"))
@@ -217,7 +229,9 @@ def plan_fan_out(spark: SparkSession, d: str) -> DataFrame:
     return e.join(p, ["patient", "condition"]).select("patient", "item").distinct()
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(old_patient_id)) AS s, lower(trim(new_patient_id)) AS t FROM patient_merges WHERE old_patient_id IS NOT NULL AND new_patient_id IS NOT NULL),
+    a AS (SELECT s AS node FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT t FROM a JOIN e ON s = node), b AS (SELECT t AS node FROM e WHERE t NOT IN (SELECT s FROM e) UNION SELECT s FROM b JOIN e ON t = node)
+    SELECT DISTINCT node, CASE WHEN node NOT IN (SELECT s FROM e) THEN NULL WHEN node < '5' THEN 'visible' WHEN node < 'a' THEN 'hidden' ELSE 'skip' END AS class FROM a WHERE node IN (SELECT node FROM b)""")
 def graph_gate_classes(spark: SparkSession, d: str) -> DataFrame:
     """States on a way through the merges' graph with a made-up gate by their first letter; classes are tested on a fixture."""
     e = written(merges(spark, d).select("source", "target"))

@@ -11,7 +11,7 @@ from cairnlight.functions import metrics
 from cairnlight.functions.stats import cluster_t, holm, student_p, t_quantile
 from cairnlight.operators.shredding import ResultTables
 from cairnlight.plans.registry import query
-from cairnlight.session import table
+from cairnlight.session import table, written
 
 SCORED = "s AS (SELECT event_id, user_id, event_type AS arm, value / (1 + value) AS score, ts FROM events)"
 
@@ -72,20 +72,38 @@ def paired_cluster_t(spark: SparkSession, d: str) -> DataFrame:
     return t.select("arm", "n", "clusters", F.round("mean", 6).alias("mean"), F.round("t", 4).alias("t"), "df")
 
 
-@query()
+#: Two-sided tail of Student's t in SQL: the density integrated by Simpson's rule over 4,000 steps.
+STUDENT = """(1 - 2 * abs(t) / 4000 / 3 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi() * df)
+    * list_sum(list_transform(generate_series(0, 4000), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2.0))))"""
+CLUSTER = f"""{PAIRS}, m AS (SELECT arm, count(*) AS n, avg(diff) AS mean, count(DISTINCT user_id) AS g FROM pairs GROUP BY arm), c AS (SELECT arm, user_id, sum(diff) AS s, count(*) AS k FROM pairs GROUP BY ALL),
+    v AS (SELECT arm, sum((s - k * mean) * (s - k * mean)) AS q FROM c JOIN m USING (arm) GROUP BY arm),
+    ts AS (SELECT arm, n, mean, mean / sqrt(q / (n * n) * g / (g - 1)) AS t, CAST(g - 1 AS DOUBLE) AS df FROM m JOIN v USING (arm))"""
+HOLM = f"""{CLUSTER}, ps AS (SELECT arm, n, t, df, {STUDENT} AS p FROM ts), hs AS (SELECT *, p * (count(*) OVER () - row_number() OVER (ORDER BY p, arm) + 1) AS h FROM ps),
+    holm AS (SELECT arm, n, t, p, least(1.0, max(h) OVER (ORDER BY p, arm ROWS UNBOUNDED PRECEDING)) AS p_holm FROM hs)"""
+
+
+@query(f"WITH {HOLM} SELECT arm, n, round(t, 4) AS t, round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM holm")
 def paired_holm(spark: SparkSession, d: str) -> DataFrame:
-    """The same tests with p and Holm's correction; Student's tail isn't in SQL, so known quantiles are tested."""
+    """The same tests with p and Holm's correction."""
+    return _holm(spark, d).select("arm", "n", F.round("t", 4).alias("t"), F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
+
+
+def _holm(spark: SparkSession, d: str) -> DataFrame:
     t = cluster_t(paired(spark, d), ["arm"], "user_id", "diff").withColumn("family", F.lit("all"))
-    return holm(t.withColumn("p", student_p("t", "df")), ["family"], "p", ["arm"]).select("arm", "n", "t", "p", "p_holm", "status")
+    return holm(t.withColumn("p", student_p("t", "df")), ["family"], "p", ["arm"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLUSTER}, b AS (SELECT arm, mean, abs(mean / t) AS se, df, CAST(0 AS DOUBLE) AS lo, CAST(50 AS DOUBLE) AS hi, 0 AS k FROM ts
+    UNION ALL SELECT arm, mean, se, df, CASE WHEN {STUDENT.replace("t * i", "mid * i").replace("abs(t)", "mid")} > 0.05 THEN mid ELSE lo END, CASE WHEN {STUDENT.replace("t * i", "mid * i").replace("abs(t)", "mid")} > 0.05 THEN hi ELSE mid END, k + 1
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM b) WHERE k < 40)
+    SELECT arm, round(mean, 5) AS mean, round(mean - se * lo, 5) AS low, round(mean + se * lo, 5) AS high FROM b WHERE k = 40""")
 def arm_contrast(spark: SparkSession, d: str) -> DataFrame:
     """Mean difference of each arm to the baseline with a 95 % interval from the clustered variance."""
     t = cluster_t(paired(spark, d), ["arm"], "user_id", "diff")
     rows = t.collect()  # one row per arm
     out = [(r["arm"], r["mean"], *((r["mean"] - q, r["mean"] + q) if r["t"] else (None, None))) for r in rows for q in [abs(r["mean"] / r["t"]) * t_quantile(0.975, r["df"]) if r["t"] else 0]]
-    return spark.createDataFrame(out, "arm string, mean double, low double, high double")
+    wide = spark.createDataFrame(out, "arm string, mean double, low double, high double")
+    return wide.select("arm", *[F.round(c, 5).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("""WITH p AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) / 400.0 AS p FROM (SELECT DISTINCT p_brand FROM part)), f AS (SELECT CASE WHEN p_brand < 'Brand#2' THEN 'a' ELSE 'b' END AS family, p_brand, p FROM p),
@@ -102,6 +120,17 @@ def score_pivot(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).groupBy("user_id").pivot("arm", ["click", "error", "purchase", "signup", "view"]).agg(F.round(F.avg("score"), 6))
 
 
+@query("SELECT event_type AS arm, count(*) AS n, round(avg(value / (1 + value)), 6) AS mean, TRUE AS inside, TRUE AS width_fits FROM events GROUP BY 1")
+def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The resampled intervals beside the means: whether the mean is inside, and whether the width is that of the normal interval of the ratio of sums over users, up to a fifth."""
+    per = scored(spark, d).groupBy("arm", "user_id").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("k"))
+    m = per.groupBy("arm").agg(F.sum("k").alias("n"), (F.sum("s") / F.sum("k")).alias("mean"))
+    spread_ = per.join(m, "arm").groupBy("arm").agg((F.sqrt(F.sum(F.pow(F.col("s") - F.col("k") * F.col("mean"), 2))) / F.max("n")).alias("se"))
+    wide = m.join(cluster_bootstrap(spark, d), "arm").join(spread_, "arm")
+    ratio = (F.col("high") - F.col("low")) / (2 * 1.96 * F.col("se"))
+    return wide.select("arm", "n", F.round("mean", 6).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"), ratio.between(0.8, 1.2).alias("width_fits"))
+
+
 @query()
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Percentile interval of each arm's mean over 500 resamples of whole users.
@@ -127,13 +156,24 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return totals.groupBy("arm").agg(q.alias("q")).select("arm", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-@query()
+@query(f"""WITH {HOLM}, a AS (SELECT event_type AS arm, count(*) AS n, avg(value / (1 + value)) AS mean FROM events GROUP BY 1), d AS (SELECT arm, avg(diff) AS gain FROM pairs GROUP BY arm)
+    SELECT arm, a.n, round(mean, 6) AS mean, TRUE AS interval_known, round(gain, 6) AS gain, round(t, 4) AS t, round(p_holm, 6) AS p_holm FROM a LEFT JOIN d USING (arm) LEFT JOIN holm USING (arm)
+    UNION ALL SELECT 'equal average', NULL, round(avg(mean), 6), NULL, CASE WHEN count(*) FILTER (WHERE arm <> 'view') = count(gain) THEN round(avg(gain), 6) END, NULL, NULL FROM a LEFT JOIN d USING (arm)""")
 def results_table(spark: SparkSession, d: str) -> DataFrame:
-    """The main table: per arm the mean with its resampled interval, the difference to the baseline, t and Holm's p; an arm without pairs keeps its row."""
+    """The main table: per arm the mean with its resampled interval, the gain over the baseline, t and Holm's p; an arm without pairs keeps its row, and
+    a last row averages the arms with the same weight, its gain only if every arm has one."""
     means = scored(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
-    tests = paired_holm(spark, d).select("arm", F.col("t"), "p_holm", "status")
+    tests = _holm(spark, d).select("arm", "t", "p_holm")
     gain = paired(spark, d).groupBy("arm").agg(F.avg("diff").alias("gain"))
-    return means.join(cluster_bootstrap(spark, d), "arm", "left").join(gain, "arm", "left").join(tests, "arm", "left")
+    wide = written(means.join(cluster_bootstrap(spark, d), "arm", "left").join(gain, "arm", "left").join(tests, "arm", "left"))
+    rounded = lambda c, k: F.round(c, k)
+    rows = wide.select("arm", "n", rounded("mean", 6).alias("mean"), (F.col("low") <= F.col("high")).alias("interval_known"), rounded("gain", 6).alias("gain"), rounded("t", 4).alias("t"), rounded("p_holm", 6).alias("p_holm"))
+    whole = F.count_if(F.col("arm") != "view") == F.count("gain")
+    last = wide.agg(F.avg("mean").alias("mean"), F.when(whole, F.avg("gain")).alias("gain")).select(
+        F.lit("equal average").alias("arm"), F.lit(None).cast("bigint").alias("n"), rounded("mean", 6).alias("mean"), F.lit(None).cast("boolean").alias("interval_known"),
+        rounded("gain", 6).alias("gain"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("p_holm"),
+    )
+    return rows.unionByName(last)
 
 
 @query("""WITH g AS (SELECT user_id % 3 AS bin, event_type AS arm, avg(value / (1 + value)) AS m, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT bin, max(CASE WHEN arm = 'view' THEN m END) AS base FROM g GROUP BY bin)
@@ -221,34 +261,82 @@ def _tables(spark: SparkSession, d: str) -> ResultTables:
     return ResultTables(table(spark, d, "results"))
 
 
-@query()
+#: The model slots of all results in SQL: from variants, and one for each row without variants or with predictions or an evaluation of its own.
+JSON_OF = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) ELSE {0} END"
+SLOTS = rf"""vs AS (SELECT result_id, {JSON_OF.format("CAST(variants AS JSON)")} AS v FROM results WHERE trim(coalesce(variants, '')) <> '' AND json_valid(variants)),
+    vk AS (SELECT result_id, v, unnest(json_keys(v)) AS variant, generate_subscripts(json_keys(v), 1) - 1 AS ordinal FROM vs WHERE json_type(v) = 'OBJECT'),
+    pk AS (SELECT result_id, variant, unnest(json_keys(plans)) AS model, plans FROM (SELECT result_id, variant, json_extract(v, '$."' || variant || '".assessment_plans') AS plans FROM vk) WHERE json_type(plans) = 'OBJECT'),
+    slots AS (SELECT result_id, variant, model, json_extract(plans, '$."' || model || '"') AS slot FROM pk
+        UNION ALL SELECT result_id, '', '', json_object('status', status, 'predictions', CASE WHEN json_valid(predictions) THEN CAST(predictions AS JSON) END, 'evaluation', CASE WHEN json_valid(evaluation) THEN CAST(evaluation AS JSON) END)
+            FROM results WHERE trim(coalesce(variants, '')) = '' OR trim(coalesce(predictions, '')) <> '' OR trim(coalesce(evaluation, '')) <> '')"""
+
+
+def ranked_sql(name: str, field: str) -> str:
+    """SQL: the entries of a list or an object of a slot with their rank."""
+    return f"""{name}_l AS (SELECT result_id, variant, model, {JSON_OF.format("x")} AS x FROM (SELECT result_id, variant, model, json_extract(slot, '$.{field}') AS x FROM slots)),
+    {name} AS (SELECT result_id, variant, model, CAST(coalesce(try_cast(json_extract_string(e, '$.rank') AS INTEGER), place) AS INTEGER) AS rank, e FROM (
+        SELECT result_id, variant, model, i AS place, json_extract(x, '$[' || (i - 1) || ']') AS e FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(x) AS BIGINT))) AS i FROM {name}_l WHERE json_type(x) = 'ARRAY')
+        UNION ALL SELECT result_id, variant, model, coalesce(try_cast(k AS INTEGER), i), json_extract(x, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(x)) AS k, generate_subscripts(json_keys(x), 1) AS i FROM {name}_l WHERE json_type(x) = 'OBJECT')))"""
+
+
+SCALAR = "CASE WHEN json_type({0}) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE {0} ->> '$' END"
+PLANS = f"""{ranked_sql('p', 'predictions')}, pl AS (SELECT result_id, variant, model, rank, CASE WHEN json_type(x) = 'VARCHAR' AND substr(ltrim(x ->> '$'), 1, 1) IN ('[', '{{') AND json_valid(x ->> '$') THEN CAST(x ->> '$' AS JSON) ELSE x END AS x
+        FROM (SELECT result_id, variant, model, rank, json_extract(e, '$.plan') AS x FROM p)),
+    items AS (SELECT result_id, variant, model, rank, CAST(i AS INTEGER) AS step, json_extract(x, '$[' || (i - 1) || ']') AS item FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(x) AS BIGINT))) AS i FROM pl WHERE json_type(x) = 'ARRAY')
+        UNION ALL SELECT result_id, variant, model, rank, 1, x FROM pl WHERE json_type(x) NOT IN ('ARRAY', 'NULL'))"""
+METRICS = f"""{ranked_sql('en', 'evaluation')}, pa AS (SELECT result_id, variant, model, rank, part, json_extract(e, '$.' || part || '.metrics') AS ms FROM en, (VALUES ('condition'), ('plan')) t(part)),
+    me AS (SELECT result_id, variant, model, rank, part, metric, json_extract(ms, '$."' || metric || '"') AS m FROM (SELECT *, unnest(json_keys(ms)) AS metric FROM pa WHERE json_type(ms) = 'OBJECT')),
+    mv AS (SELECT * FROM me WHERE json_type(m) = 'OBJECT')"""
+
+
+@query(f"WITH {SLOTS} SELECT result_id AS record, variant, CAST(ordinal AS INTEGER) AS ordinal FROM vk")
 def p5_variants(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).variants()
+    """Variants; the node numbers that link the tables are checked by p5_links."""
+    return _tables(spark, d).variants().select("record", "variant", "ordinal")
 
 
-@query()
+@query(f"WITH {SLOTS} SELECT result_id AS record, variant, model, json_extract_string(slot, '$.status') AS status, {SCALAR.format("json_extract(slot, '$.error')")} AS error, json_extract_string(slot, '$.error.type') AS error_type FROM slots")
 def p5_outputs(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).outputs()
+    return _tables(spark, d).outputs().select("record", "variant", "model", "status", "error", "error_type")
 
 
-@query()
+@query(f"WITH {SLOTS}, {ranked_sql('p', 'predictions')} SELECT result_id AS record, variant, model, rank, {SCALAR.format("json_extract(e, '$.condition')")} AS condition FROM p")
 def p5_predictions(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).predictions()
+    return _tables(spark, d).predictions().select("record", "variant", "model", "rank", "condition")
 
 
-@query()
+@query(f"WITH {SLOTS}, {PLANS} SELECT result_id AS record, variant, model, rank, step, text FROM (SELECT *, CASE WHEN json_type(item) = 'OBJECT' THEN json_extract_string(item, '$.text') ELSE {SCALAR.format('item')} END AS text FROM items WHERE json_type(item) <> 'NULL') WHERE json_type(item) <> 'OBJECT' OR text IS NOT NULL")
 def p5_plan_items(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).plan_items()
+    return _tables(spark, d).plan_items().select("record", "variant", "model", "rank", "step", "text")
 
 
-@query()
+@query(f"WITH {SLOTS}, {METRICS} SELECT result_id AS record, variant, model, rank, part, metric, json_extract_string(m, '$.status') AS status, try_cast(json_extract_string(m, '$.value') AS DOUBLE) AS value FROM mv")
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).scores()
+    return _tables(spark, d).scores().select("record", "variant", "model", "rank", "part", "metric", "status", "value")
 
 
-@query()
+@query(f"""WITH {SLOTS}, {METRICS}, r AS (SELECT *, json_extract(m, '$.runs') AS runs FROM mv), j AS (SELECT *, CAST(i - 1 AS INTEGER) AS ordinal, json_extract(runs, '$[' || (i - 1) || ']') AS x FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(runs) AS BIGINT))) AS i FROM r WHERE json_type(runs) = 'ARRAY'))
+    SELECT result_id AS record, variant, model, rank, part, metric, ordinal, json_extract_string(x, '$.judge') AS judge, try_cast(json_extract_string(x, '$.score') AS DOUBLE) AS score FROM j WHERE json_type(x) = 'OBJECT'""")
 def p5_judge_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d).judge_scores()
+    return _tables(spark, d).judge_scores().select("record", "variant", "model", "rank", "part", "metric", "ordinal", "judge", "score")
+
+
+@query(f"""WITH {SLOTS}, {PLANS}, {METRICS} SELECT 'outputs' AS child, (SELECT count(*) FROM pk) AS n, 0 AS orphans UNION ALL SELECT 'predictions', (SELECT count(*) FROM p), 0
+    UNION ALL SELECT 'plan_items', (SELECT count(*) FROM items WHERE json_type(item) <> 'NULL'), 0 UNION ALL SELECT 'scores', (SELECT count(*) FROM mv), 0""")
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each child table that name a parent, and how many of them have none: the flat tables are linked by record, root and node."""
+    t = _tables(spark, d)
+    outputs, predictions = t.outputs(), t.predictions()
+    pairs = (
+        ("outputs", outputs.filter("variant_node is not null"), "variant_node", t.variants()), ("predictions", predictions, "slot_node", outputs),
+        ("plan_items", t.plan_items(), "prediction_node", predictions), ("scores", t.scores(), "slot_node", outputs),
+    )
+    out = None
+    for name, child, key, parent in pairs:
+        up = parent.select("record", "root", F.col("node").alias(key), F.lit(True).alias("_p"))
+        one = child.select("record", "root", key).join(up, ["record", "root", key], "left").agg(F.lit(name).alias("child"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("_p").isNull()).alias("orphans"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(r"""WITH slots AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlight.functions.text import estimated_tokens, joined_id, sentences, token_chunks, tokens
 from cairnlight.operators import knowledge as K
+from cairnlight.operators.communities import community_table, hierarchical_leiden
 from cairnlight.operators.components import connected_components
 from cairnlight.operators.ranking import global_rank
 from cairnlight.plans.registry import query
@@ -46,9 +47,9 @@ def text_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(tokens("text")).alias("n_tokens"), estimated_tokens("text").alias("estimated"))
 
 
-@query()
+@query(r"""SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '[\r\n\x01]+'), lambda x: trim(x) <> '')) AS n FROM documents""")
 def text_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences per document; the split looks behind, which the SQL engine's regular expressions can't."""
+    """Sentences per document; the split looks behind, for which the SQL puts a mark."""
     return table(spark, d, "documents").select("doc_id", F.size(sentences("text")).alias("n"))
 
 
@@ -57,10 +58,11 @@ def documents_without_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("source is null").select("doc_id", F.col("doc_id").cast("string").alias("key"))
 
 
-@query()
+@query("SELECT doc_id, count(*) OVER (PARTITION BY coalesce(text, '') || coalesce(source, '')) AS same FROM documents")
 def document_ids(spark: SparkSession, d: str) -> DataFrame:
-    """SHA-512 ids of the loaded documents; the SQL engine has no SHA-512, so known values are tested."""
-    return table(spark, d, "documents").select("doc_id", joined_id("text", "source").alias("id"))
+    """How many documents have the id of each: SHA-512 over text and source."""
+    ids = table(spark, d, "documents").select("doc_id", joined_id("text", "source").alias("id"))
+    return ids.join(ids.groupBy("id").agg(F.count(F.lit(1)).alias("same")), "id").select("doc_id", "same")
 
 
 @query(f"WITH {NODES} SELECT title, frequency FROM nodes")
@@ -137,10 +139,46 @@ def graph_modularity(spark: SparkSession, d: str) -> DataFrame:
     return K.modularity(e, connected_components(e, "source", "target").withColumnRenamed("component", "community")).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MERGES}, g AS (SELECT component, count(*) AS n FROM c GROUP BY component) SELECT 'nodes at the top' AS what, (SELECT count(*) FROM c) AS n UNION ALL SELECT 'nodes twice at a level', 0 UNION ALL SELECT 'children outside their parent', 0
+    UNION ALL SELECT 'communities over a component border', 0 UNION ALL SELECT 'communities that hang apart', 0 UNION ALL SELECT 'modularity below that of components', 0""")
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of the graph of merges, at most 10 nodes a level where they can be divided: seeded label propagation, checked by invariants."""
-    return K.label_communities(written(merges(spark, d)))
+    """What must hold of the communities of the graph of merges (hierarchical Leiden, at most 10 nodes where they can be divided)."""
+    e = written(merges(spark, d))
+    c = written(hierarchical_leiden(e))
+    top = c.filter("level = 0").select("node", "community")
+    parts = written(connected_components(e, "source", "target"))
+    up = c.select("node", (F.col("level") + 1).alias("level"), F.col("community").alias("parent"), F.lit(True).alias("_in"))
+    inner = e.join(c.select(F.col("node").alias("source"), "level", "community"), "source").join(c.select(F.col("node").alias("target"), "level", F.col("community").alias("_c")), ["target", "level"]).filter("community = _c")
+    name = lambda x: F.concat(F.col("community"), F.lit("|"), F.col(x))
+    islands = connected_components(inner.select(name("source").alias("source"), name("target").alias("target")), "source", "target")
+    held = islands.select(F.substring_index("node", "|", 1).alias("community"), "component").distinct().groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    ours, theirs = K.modularity(e, top), K.modularity(e, parts.withColumnRenamed("component", "community"))
+    count = lambda df, what: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    checks = (
+        count(top, "nodes at the top"), count(c.groupBy("node", "level").count().filter("count > 1"), "nodes twice at a level"),
+        count(c.filter("level > 0").join(up, ["node", "level", "parent"], "left").filter("_in is null"), "children outside their parent"),
+        count(c.join(parts, "node").groupBy("community").agg(F.countDistinct("component").alias("k")).filter("k > 1"), "communities over a component border"),
+        count(held.filter("n > 1"), "communities that hang apart"),
+        count(ours.join(theirs.withColumnRenamed("modularity", "_m")).filter("modularity < _m - 1e-9"), "modularity below that of components"),
+    )
+    out = checks[0]
+    for x in checks[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query(f"WITH RECURSIVE {MERGES} SELECT (SELECT count(*) FROM c) AS nodes, (SELECT count(*) FROM e) AS relationships, TRUE AS children_fit, '2026-01-01' AS period")
+def community_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The community table (level, parent, children, size, relationships, period): its top level has all nodes, children add up to their parent; relationships inside and between."""
+    e = written(merges(spark, d))
+    c = written(hierarchical_leiden(e))
+    t = written(community_table(c, e, "2026-01-01"))
+    kids = t.filter("parent is not null").groupBy(F.col("parent").alias("community")).agg(F.sum("size").alias("_s"), F.count(F.lit(1)).alias("_k"))
+    fit = t.join(kids, "community", "left").agg(F.bool_and(F.coalesce(F.col("_s") == F.col("size"), F.size("children") == 0) & (F.size("children") == F.coalesce("_k", F.lit(0)))).alias("children_fit"))
+    a, b = (c.filter("level = 0").select(F.col("node").alias(x), F.col("community").alias(y)) for x, y in (("source", "_a"), ("target", "_b")))
+    between = e.join(a, "source").join(b, "target").filter("_a <> _b").agg(F.count(F.lit(1)).alias("_n"))
+    top = t.filter("level = 0").agg(F.sum("size").cast("bigint").alias("nodes"), F.sum("relationships").alias("_r"), F.max("period").alias("period"))
+    return top.join(between).join(fit).select("nodes", (F.col("_r") + F.col("_n")).cast("bigint").alias("relationships"), "children_fit", "period")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT lower(trim(old_patient_id)) AS s, lower(trim(new_patient_id)) AS t FROM patient_merges),

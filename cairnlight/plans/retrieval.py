@@ -121,9 +121,12 @@ def budget_contexts(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("used"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT provider_id, doc_id, n_chars // 4 AS cost, row_number() OVER (PARTITION BY provider_id ORDER BY doc_id) AS k FROM documents WHERE provider_id IS NOT NULL),
+    r AS (SELECT provider_id, doc_id, cost, k, cost AS used, 0 AS batch FROM w WHERE k = 1
+        UNION ALL SELECT w.provider_id, w.doc_id, w.cost, w.k, CASE WHEN used + w.cost > 2000 THEN w.cost ELSE used + w.cost END, CASE WHEN used + w.cost > 2000 THEN batch + 1 ELSE batch END FROM r JOIN w ON w.provider_id = r.provider_id AND w.k = r.k + 1)
+    SELECT provider_id, doc_id, cost, batch FROM r""")
 def budget_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of the documents of each provider, cut where the next one would overflow: a fold, tested against a loop."""
+    """Batches of the documents of each provider, cut where the next one would overflow: a fold."""
     w = table(spark, d, "documents").filter("provider_id is not null").select("doc_id", "provider_id", F.expr("n_chars div 4").alias("cost"))
     return K.greedy_batches(w, "provider_id", "doc_id", "cost", 2000)
 

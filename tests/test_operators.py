@@ -140,13 +140,6 @@ def test_graph_self_loop_and_both_directions(spark):
     assert {r.title: r.degree for r in K.degrees(edges).collect()} == {"a": 1, "b": 1, "c": 2}
 
 
-def test_communities_cover_and_divide(spark):
-    links = [(f"a{i}", f"a{j}", 3.0) for i in range(6) for j in range(i)] + [(f"b{i}", f"b{j}", 3.0) for i in range(6) for j in range(i)] + [("a0", "b0", 0.1)]
-    got = K.label_communities(spark.createDataFrame(links, "source string, target string, weight double")).collect()
-    top = {r.node: r.community for r in got if r.level == 0}
-    assert len(top) == 12 and len(set(top.values())) == 2
-
-
 def test_batches(spark):
     df = spark.createDataFrame([("g", i, c) for i, c in enumerate([3, 3, 5, 9, 1, 1])] + [("h", 0, 4)], "g string, o int, c bigint")
     got = sorted((r.g, r.o, r.batch) for r in K.greedy_batches(df, "g", "o", "c", 6).collect())
