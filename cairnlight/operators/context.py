@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlight.operators.knowledge import budget_prefix, greedy_batches, network_relationships, reachable
+from cairnlight.operators.knowledge import budget_prefix, budget_top, greedy_batches, network_relationships, reachable
 from cairnlight.session import written
 
 
@@ -35,7 +35,7 @@ def local_context(
         raise ValueError("the shares exceed the budget")
     rest = int(budget * (1 - report_share - unit_share))
     matched = reports.join(selected, "title", "left_semi").groupBy("community").agg(F.countDistinct("title").alias("n"), F.max("cost").alias("cost"))
-    part = lambda df, name, key, order, size: budget_prefix(df.withColumn("_g", F.lit(0)), ["_g"], order, "cost", size).select(F.lit(name).alias("part"), F.col(key).cast("string").alias("id"), "cost")
+    part = lambda df, name, key, order, size: budget_top(df, order, "cost", size).select(F.lit(name).alias("part"), F.col(key).cast("string").alias("id"), "cost")
     a = part(matched, "report", "community", [F.desc("n"), F.col("community")], int(budget * report_share))
     e = part(entities.join(selected, "title"), "entity", "title", [F.col("place"), F.col("title")], rest)
     net = network_relationships(relationships, selected)
@@ -52,8 +52,8 @@ def global_points(reports: DataFrame, order: str, cost: str, budget: int, rate:
     """Map and reduce of a global search: batches of reports by budget, rate(batches) gives (batch, point, score, cost), zeros leave, best first under the reduce budget."""
     rows = reports.withColumn("_g", F.lit(0))
     batches = greedy_batches(rows, "_g", order, cost, budget).drop("_g")
-    points = rate(batches).filter("score > 0").withColumn("_g", F.lit(0))
-    return budget_prefix(points, ["_g"], [F.desc("score"), F.col("batch"), F.col("point")], "cost", reduce_budget).drop("_g")
+    points = written(rate(batches).filter("score > 0"))
+    return budget_top(points, [F.desc("score"), F.col("batch"), F.col("point")], "cost", reduce_budget)
 
 
 def drift_frontier(actions: DataFrame, k: int) -> DataFrame:

@@ -99,6 +99,16 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return per.agg(F.sum(F.coalesce("w", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
+def modularity_by(edges: DataFrame, membership: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, modularity) of each part of a graph by itself; parts: (node, part), an edge belongs to the part of its source."""
+    s, t = membership.select(F.col("node").alias("source"), F.col("community").alias("_cs")), membership.select(F.col("node").alias("target"), F.col("community").alias("_ct"))
+    e = edges.join(s, "source").join(t, "target").join(parts.select(F.col("node").alias("source"), "part"), "source")
+    total = e.groupBy("part").agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("_cs") == F.col("_ct"), F.col("weight")).otherwise(0)).alias("w"))
+    ends = e.select("part", F.explode(F.array("_cs", "_ct")).alias("c"), "weight").groupBy("part", "c").agg(F.sum("weight").alias("d"))
+    null = ends.join(total.select("part", "m"), "part").groupBy("part").agg(F.sum(F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("q"))
+    return total.join(null, "part").select("part", (F.col("w") / F.col("m") - F.col("q")).alias("modularity"))
+
+
 def reachable(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None = None, most: int = 1000) -> DataFrame:
     """(node) reached from starts along source -> target, never passing through blocked nodes (these are not reached either).
 
@@ -169,6 +179,19 @@ def budget_prefix(df: DataFrame, group: list[str], order: list[Column], cost: st
     return df.withColumn("_run", F.sum(cost).over(w)).filter(F.col("_run") <= budget).drop("_run")
 
 
+def budget_top(df: DataFrame, order: list[Column], cost: str, budget: int) -> DataFrame:
+    """Rows of the whole table in order as long as the running cost stays within budget, without sorting the table.
+
+    No more rows fit than the budget holds of the smallest positive cost, beside those that cost nothing: so a top-k of that many comes first and the running
+    sum is taken over it alone. Null costs count as 0; with costs of 0 the top-k grows by their number.
+    """
+    price = F.coalesce(F.col(cost), F.lit(0))
+    least = df.agg(F.min(F.when(price > 0, price)).alias("least"), F.count_if(price <= 0).alias("free")).first()
+    most = least["free"] + (int(budget // least["least"]) + 1 if least["least"] else 0)
+    first = df.orderBy(*order).limit(most).withColumn("_g", F.lit(0)).withColumn("_cost", price)
+    return budget_prefix(first, ["_g"], order, "_cost", budget).drop("_g", "_cost")
+
+
 def greedy_batches(df: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
     """(group, order, cost, batch): a new batch from 0 starts where the next row would exceed the budget. A fold in order, streamed per task."""
     schema = f"{group} {df.schema[group].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, {cost} bigint, batch int"

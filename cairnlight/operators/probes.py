@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, VectorAssembler
+from pyspark.ml.feature import IDF, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlight.functions.dates import local_date
+from cairnlight.operators.ranking import hash_rank
 from cairnlight.session import written
 
 
@@ -70,6 +72,38 @@ def grouped_probe(counts: DataFrame, group: str, terms: str, pairs: str, label:
     return out
 
 
+def grouped_classes(rows: DataFrame, group: str, label: str, features: str, folds: int = 5) -> DataFrame:
+    """(group, label, fold, prediction) of held-out rows for any number of classes: balanced multinomial logistic regression over an array of numbers.
+
+    Groups are dealt over the folds by hash within their rarest class, so classes are spread evenly and a group is never on both sides. Features are scaled by the training side alone.
+    A fold whose training side has one class predicts that class. Null features count as 0.
+    """
+    filled = F.transform(features, lambda x: F.coalesce(x, F.lit(0.0)))
+    data = rows.filter(F.col(label).isNotNull()).select(F.col(group).alias("_g"), F.col(label).cast("string").alias("_y"), array_to_vector(filled).alias("_f"))
+    size = data.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
+    own = data.select("_g", "_y").distinct().join(size, "_y").groupBy("_g").agg(F.min(F.struct("_n", "_y"))["_y"].alias("_s"))
+    place = hash_rank(own, ["_s"], ["_g"], "_r").select("_g", F.pmod(F.col("_r"), F.lit(folds)).cast("int").alias("fold"))
+    names = [r["_y"] for r in size.orderBy(F.desc("_n"), "_y").collect()]  # the classes
+    numbers = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(float(i)))]) if names else None
+    if not names:
+        return data.select(F.col("_g").alias(group), F.col("_y").alias(label), F.lit(0).alias("fold"), F.lit(None).cast("string").alias("prediction"))
+    data = written(data.join(place, "_g").withColumn("_l", numbers[F.col("_y")]))
+    out, labels = None, F.array(*[F.lit(n) for n in names])
+    for k in range(folds):
+        train, test = data.filter(F.col("fold") != k), data.filter(F.col("fold") == k)
+        counts = {r["_l"]: r["n"] for r in train.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if len(counts) < 2:
+            held = test.withColumn("_p", F.lit(next(iter(counts), 0.0)))
+        else:
+            weights = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(sum(counts.values()) / (len(counts) * n)))])
+            scaler = StandardScaler(inputCol="_f", outputCol="_x", withMean=True).fit(train)
+            fitted = LogisticRegression(featuresCol="_x", labelCol="_l", weightCol="_w", predictionCol="_p", family="multinomial", maxIter=10, regParam=0.01).fit(scaler.transform(train).withColumn("_w", weights[F.col("_l")]))
+            held = fitted.transform(scaler.transform(test))
+        held = held.select(F.col("_g").alias(group), F.col("_y").alias(label), "fold", F.element_at(labels, F.col("_p").cast("int") + 1).alias("prediction"))
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
 def confusion(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
     """Counts per true and predicted class, with the recall of the true class."""
     n = predicted.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnlight.plans import cohort, context, evaluation, knowledge, quality, relational, retrieval, storage  # noqa: F401  (they register their queries)
+from cairnlight.plans import cohort, context, evaluation, knowledge, quality, relational, retrieval, review, storage  # noqa: F401  (they register their queries)
 from cairnlight.plans.registry import QUERIES, SQL, Query
 
 

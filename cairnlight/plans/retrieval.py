@@ -9,6 +9,7 @@ from cairnlight.functions.text import has_all_words, has_phrase, keyword_overlap
 from cairnlight.functions.vectors import cosine, mean_vector, norm
 from cairnlight.operators import knowledge as K
 from cairnlight.operators import retrieval as R
+from cairnlight.operators.cohort import ordered_rank
 from cairnlight.plans.registry import query
 from cairnlight.session import table
 
@@ -146,8 +147,10 @@ def conversation_last_turns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, ntile(4) OVER (ORDER BY vec_id) AS fold FROM embeddings")
 def report_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Folds of a bounded list of reports; the first n % k folds have one more."""
-    return vectors(spark, d).select("vec_id", F.ntile(4).over(Window.orderBy("vec_id")).alias("fold"))
+    """Four folds in the order of the ids; the first n % 4 have one more. Ranks come from range buckets, so no task sorts the table."""
+    ranked = ordered_rank(vectors(spark, d).select("vec_id"), [], "vec_id", "_r")
+    n = F.broadcast(vectors(spark, d).agg(F.count(F.lit(1)).alias("_n")))
+    return ranked.join(n).select("vec_id", F.expr("int(if(_r <= _n % 4 * (_n div 4 + 1), (_r - 1) div (_n div 4 + 1), _n % 4 + (_r - 1 - _n % 4 * (_n div 4 + 1)) div greatest(_n div 4, 1)) + 1)").alias("fold"))
 
 
 @query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM n) SELECT user_id, event_type AS vote FROM r WHERE k = 1""")
