@@ -50,12 +50,12 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_checks(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of the splits: every id once, no person on two sides, each split within one record in a hundred of its share."""
+    """What must hold of the splits: every id once, no person on two sides, the splits together within one record in fifty of their shares, and two of the largest person."""
     got = p2_splits(spark, d)
     people_ = got.groupBy("person").agg(F.countDistinct("split").alias("sides"), F.count(F.lit(1)).alias("n"))
-    per = people_.agg(F.sum("n").alias("ids"), F.count_if(F.col("sides") > 1).alias("divided"))
+    per = people_.agg(F.sum("n").alias("ids"), F.count_if(F.col("sides") > 1).alias("divided"), F.max("n").alias("largest"))
     off = got.agg(*[F.avg((F.col("split") == s).cast("double")).alias(s) for s in ("test", "validation", "train")])
-    near = F.abs(F.col("test") - 0.15) + F.abs(F.col("validation") - 0.15) + F.abs(F.col("train") - 0.7) < 0.02
+    near = F.abs(F.col("test") - 0.15) + F.abs(F.col("validation") - 0.15) + F.abs(F.col("train") - 0.7) < 0.02 + 2 * F.col("largest") / F.col("ids")
     return per.join(off).select("ids", "divided", near.alias("near"))
 
 

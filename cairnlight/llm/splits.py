@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,8 +43,8 @@ def related_ids(people: DataFrame) -> DataFrame:
     return people.join(first, "person").filter("id <> first_id").select("first_id", F.col("id").alias("other_id"))
 
 
-def closest_subset(sizes: dict[int, int], goal: int) -> dict[int, int]:
-    """How many items of each size to take so that their sum comes closest to goal (the smaller sum on a tie).
+def closest_subset(sizes: dict[int, int], goal: int, larger: bool = False) -> dict[int, int]:
+    """How many items of each size to take so that their sum comes closest to goal (on a tie the smaller sum, or the larger one).
 
     Sums that can be reached are the set bits of one table up to goal and the largest size; multiplicities are split into powers of two. Each sum keeps
     the part by which it was first reached, and the choice is read back along these: a part that first reaches a sum stands on one reached by earlier parts.
@@ -65,7 +67,8 @@ def closest_subset(sizes: dict[int, int], goal: int) -> dict[int, int]:
             new = np.flatnonzero(reached[: top + 1 - w] & ~reached[w:]) + w
             reached[new], first[new] = True, i
     sums = np.flatnonzero(reached)
-    best = int(sums[np.argmin(np.abs(sums - goal))])  # of two equally close sums the first, which is the smaller
+    sums = sums[::-1] if larger else sums
+    best = int(sums[np.argmin(np.abs(sums - goal))])  # the first of two that are equally close
     chosen: dict[int, int] = {}
     while best:
         size, take = parts[first[best]]
@@ -74,12 +77,12 @@ def closest_subset(sizes: dict[int, int], goal: int) -> dict[int, int]:
     return chosen
 
 
-def plan_stratum(sizes: dict[int, int], goals: dict[str, int], shares: dict[str, float], table: int = 1 << 24) -> list[tuple[int, str, int, int]]:
+def plan_stratum(sizes: dict[int, int], goals: dict[str, int], shares: dict[str, float], table: int = 1 << 24, larger: bool = False) -> list[tuple[int, str, int, int]]:
     """(size, split, first, last) ranks of a stratum's persons of each size: who goes where.
 
     sizes: number of persons by size. Of each size every split first gets its part, rounded down, of all persons but a reserve that is large
     enough to make up for the largest person; the reserve is dealt by subset sums so that each split's total comes closest to its goal. The last split, which has no goal, takes
-    what is left. table is the longest table of sums: where the reserve of a stratum holds more records (persons of tens of thousands of ids), sums are compared in units of several records.
+    what is left. larger: which of two equally close sums is taken; strata should differ in it, or ties add up. table is the longest table of sums: where the reserve of a stratum holds more records (persons of tens of thousands of ids), sums are compared in units of several records.
     """
     names = list(shares)
     largest = max(sizes)
@@ -92,7 +95,7 @@ def plan_stratum(sizes: dict[int, int], goals: dict[str, int], shares: dict[str,
         for s in sorted(left):
             coarse.setdefault(max(1, round(s / unit)), []).append(s)
         wanted = goals[name] - sum(s * k for s, k in taken[name].items())
-        more = closest_subset({c: sum(left[s] for s in group) for c, group in coarse.items()}, round(wanted / unit))
+        more = closest_subset({c: sum(left[s] for s in group) for c, group in coarse.items()}, round(wanted / unit), larger)
         for c, k in more.items():
             for s in coarse[c]:
                 now = min(k, left[s])
@@ -142,7 +145,7 @@ def assign_splits(people: DataFrame, labels: DataFrame, shares: dict[str, float]
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = dict(zip(pdf["size"].tolist(), pdf["n"].tolist()))
-        found = plan_stratum(sizes, dict(zip(names, pdf["goals"].iloc[0])), shares)
+        found = plan_stratum(sizes, dict(zip(names, pdf["goals"].iloc[0])), shares, larger=bool(zlib.crc32(pdf["stratum"].iloc[0].encode()) & 1))
         return pd.DataFrame([(pdf["stratum"].iloc[0], *x) for x in found], columns=["stratum", "size", "split", "first", "last"])
 
     planned = wanted.groupBy("stratum").applyInPandas(plan, "stratum string, size bigint, split string, first bigint, last bigint")

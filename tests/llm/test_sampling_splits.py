@@ -118,6 +118,8 @@ def test_closest_subset_against_all_subsets():
         got = closest_subset(dict(sizes), goal)
         assert all(k <= sizes[s] for s, k in got.items())
         assert abs(sum(s * k for s, k in got.items()) - goal) == min(abs(x - goal) for x in sums)
+        more = closest_subset(dict(sizes), goal, larger=True)
+        assert sum(s * k for s, k in more.items()) in {sum(s * k for s, k in got.items()), 2 * goal - sum(s * k for s, k in got.items())}
 
 
 @pytest.mark.parametrize("hot", [1, 400])
