@@ -215,9 +215,9 @@ def mapping_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, Column]:
     parts = [(chr(cp), [chr(x) for x in p]) for cp, p, _ in rows if p != (cp,)]
     classes = [(chr(cp), cls) for cp, _, cls in rows if cls]
     made = json.dumps({text((a, b)): chr(c) for a, b, c in composed})
-    return (
-        spark.createDataFrame(parts, "ch string, parts array<string>"), spark.createDataFrame(classes, "ch string, class int"), F.from_json(F.lit(made), "map<string, string>")
-    )
+    # Constants of the plan: made in the JVM, without a job for rows from Python.
+    constant = lambda rows, names, fields: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{fields}>>")).alias("x")).select("x.*")
+    return constant(parts, ("ch", "parts"), "ch: string, parts: array<string>"), constant(classes, ("ch", "class"), "ch: string, class: int"), F.from_json(F.lit(made), "map<string, string>")
 
 
 def digest(c: Column) -> Column:

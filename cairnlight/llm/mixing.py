@@ -131,7 +131,6 @@ class Mixture:
             spent = sums.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("upto") <= F.col("_room"), F.col("size"))), F.lit(0)).alias("_spent"))
             room = F.col("_room") - F.col("_spent")
             left = sums.filter("upto > _room").join(F.broadcast(spent), "source").filter(F.col("size") <= room).select("source", "id", "size", room.alias("_room"))
-            left = written(left)
             if left.isEmpty():
                 return taken
 

@@ -230,12 +230,17 @@ class Languages:
 
 def word_features(segments: list[str]) -> Counter:
     """Words, their first four letters and pairs of neighbouring words of the segments."""
+    said = Counter(tuple(LETTERS.findall(x.lower())) for x in segments)  # texts repeat themselves: each is taken apart once
+    words: Counter = Counter()
     out: Counter = Counter()
-    for x in segments:
-        w = LETTERS.findall(x.lower())
-        out.update(w)
-        out.update("^" + y[:4] for y in w)
-        out.update(a + " " + b for a, b in zip(w, w[1:]))
+    for w, n in said.items():
+        for y in w:
+            words[y] += n
+        for a, b in zip(w, w[1:]):
+            out[a + " " + b] += n
+    for y, n in words.items():
+        out[y] += n
+        out["^" + y[:4]] += n
     return out
 
 
