@@ -57,9 +57,9 @@ def quarantine(rows: DataFrame, key: str, text: str, parsed: Column) -> DataFram
 def ordered_rank(df: DataFrame, group: list[str], order: str, rank: str, buckets: int = 64) -> DataFrame:
     """1-based rank by a column within group (nulls first), through range buckets, so that a hot group is many tasks.
 
-    The bounds are taken from the 16 * buckets values with the smallest hashes, a bounded sample that only decides how even the buckets are; sizes are counted.
+    The bounds are taken from the 16 * buckets rows with the smallest hashes, a bounded sample that only decides how even the buckets are; sizes are counted.
     """
-    sample = df.filter(F.col(order).isNotNull()).select(order).distinct().orderBy(F.xxhash64(order), order).limit(16 * buckets).collect()
+    sample = df.filter(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(16 * buckets).collect()
     values = sorted(r[0] for r in sample)
     bounds = sorted({values[i * len(values) // buckets] for i in range(1, buckets)}) if values else []
     edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
