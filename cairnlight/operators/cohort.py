@@ -54,14 +54,19 @@ def quarantine(rows: DataFrame, key: str, text: str, parsed: Column) -> DataFram
     return bad.groupBy(key).agg(F.min(text).alias("problem"))
 
 
-def ordered_rank(df: DataFrame, group: list[str], order: str, rank: str, buckets: int = 64) -> DataFrame:
+def range_bounds(df: DataFrame, order: str, buckets: int = 64) -> list:
+    """Bounds of range buckets of a column, from the 16 * buckets rows with the smallest hashes: a bounded sample that only decides how even the buckets are."""
+    sample = df.filter(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(16 * buckets).collect()
+    values = sorted(r[0] for r in sample)
+    return sorted({values[i * len(values) // buckets] for i in range(1, buckets)}) if values else []
+
+
+def ordered_rank(df: DataFrame, group: list[str], order: str, rank: str, bounds: list | None = None) -> DataFrame:
     """1-based rank by a column within group (nulls first), through range buckets, so that a hot group is many tasks.
 
-    The bounds are taken from the 16 * buckets rows with the smallest hashes, a bounded sample that only decides how even the buckets are; sizes are counted.
+    bounds: those of range_bounds, taken from df where none are given. Any bounds give the same ranks, since the sizes of the buckets are counted.
     """
-    sample = df.filter(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(16 * buckets).collect()
-    values = sorted(r[0] for r in sample)
-    bounds = sorted({values[i * len(values) // buckets] for i in range(1, buckets)}) if values else []
+    bounds = range_bounds(df, order) if bounds is None else bounds
     edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
     keyed = df.withColumn("_b", F.size(F.filter(edges, lambda b: b <= F.col(order))))
     counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -76,8 +81,9 @@ def matched_controls(positives: DataFrame, others: DataFrame, key: str, strata:
 
     The n-th control of a stratum goes to positive ceil(n / each): a join of two ranks instead of a loop.
     """
-    p = ordered_rank(positives.select(key, *strata), strata, key, "_slot").withColumnRenamed(key, "positive")
-    n = ordered_rank(others.select(key, *strata), strata, key, "_rank").withColumnRenamed(key, "control")
+    bounds = range_bounds(others, key)
+    p = ordered_rank(positives.select(key, *strata), strata, key, "_slot", bounds).withColumnRenamed(key, "positive")
+    n = ordered_rank(others.select(key, *strata), strata, key, "_rank", bounds).withColumnRenamed(key, "control")
     n = n.withColumn("_slot", F.floor((F.col("_rank") - 1) / each) + 1)
     return n.join(p, [*strata, "_slot"]).select("control", "positive", *strata)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -118,13 +119,15 @@ def reachable(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None = N
     if blocked is not None:
         e = e.join(blocked.select(F.col("node").alias("target")), "target", "left_anti")
         starts = starts.join(blocked, "node", "left_anti")
-    front = seen = written(starts.select("node").distinct())
+    front = written(starts.select("node").distinct())
+    parts = [front]  # what was reached, rewritten as one table only now and then
     for _ in range(most):
         step = e.join(front.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, parts)
         front = written(step.join(seen, "node", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = written(seen.unionByName(front))
+        parts = [*parts, front] if len(parts) < 16 else [written(seen.unionByName(front))]
     raise RuntimeError("the frontier did not settle")
 
 

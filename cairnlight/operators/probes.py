@@ -43,12 +43,14 @@ def hashed_counts(counts: str, features: int) -> Column:
 
 
 def grouped_probe(counts: DataFrame, group: str, terms: str, pairs: str, label: str, folds: int = 5, features: int = 1 << 12) -> DataFrame:
-    """(group, label, fold, prediction) of held-out rows: folds by a hash of the group, so a group is never on both sides.
+    """(group, label, fold, prediction) of held-out rows: groups are dealt over the folds by hash within each class, so classes are spread evenly and a group is never on both sides.
 
     terms and pairs are arrays of (term, n), taken as term frequencies. Weights balance the classes; the term weights of a fold are learnt on its training side alone.
     """
     hashed = counts.select(group, label, hashed_counts(terms, features).alias("_a"), hashed_counts(pairs, features).alias("_b"))
-    rows = written(hashed.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")))
+    own = counts.groupBy(group).agg(F.min(label).alias("_s"))
+    place = hash_rank(own, ["_s"], [group], "_r").select(group, F.pmod(F.col("_r"), F.lit(folds)).cast("int").alias("fold"))
+    rows = written(hashed.join(place, group))
     out = None
     for k in range(folds):
         train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)

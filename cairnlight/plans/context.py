@@ -13,7 +13,7 @@ from cairnlight.operators import context as X
 from cairnlight.operators import knowledge as K
 from cairnlight.plans.cohort import TARGET, cutoffs, day_sql, encounters, observations
 from cairnlight.plans.knowledge import EDGES, edges, mentions, merges, nodes
-from cairnlight.plans.registry import query
+from cairnlight.plans.registry import UNESCAPED, query
 from cairnlight.plans.retrieval import COS, E, query_vector, vectors
 from cairnlight.session import table, written
 
@@ -75,13 +75,18 @@ def search_drift(spark: SparkSession, d: str) -> DataFrame:
     return X.drift_search(start, follow, 2, 3)
 
 
-@query("""WITH t AS (SELECT n_nationkey AS community, CASE WHEN n_nationkey < 5 THEN -1 ELSE n_nationkey % 5 END AS parent, CASE WHEN n_nationkey < 5 THEN 0 ELSE 1 END AS level, n_nationkey % 7 AS rating FROM nation),
-    a AS (SELECT community FROM t WHERE level = 0 AND rating >= 2), b AS (SELECT community, parent FROM t WHERE level = 1 AND rating >= 2 AND parent IN (SELECT community FROM a))
+@query("""WITH d AS (SELECT source, coalesce(lang, 'none') AS lang, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY ALL), s AS (SELECT sum(n) AS s FROM d),
+    t AS (SELECT source AS community, NULL AS parent, 0 AS level, sum(n) * 100 // any_value(s) AS rating FROM d, s GROUP BY source UNION ALL SELECT source || '/' || lang, source, 1, n * 100 // s FROM d, s),
+    a AS (SELECT community FROM t WHERE level = 0 AND rating >= 3), b AS (SELECT community, parent FROM t WHERE level = 1 AND rating >= 3 AND parent IN (SELECT community FROM a))
     SELECT community FROM a WHERE community NOT IN (SELECT parent FROM b) UNION ALL SELECT community FROM b""")
 def search_dynamic_selection(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    t = table(spark, d, "nation").select(k.alias("community"), F.when(k < 5, -1).otherwise(k % 5).alias("parent"), F.when(k < 5, 0).otherwise(1).alias("level"), (k % 7).alias("rating"))
-    return X.selected_communities(t, "rating", 2)
+    """Sources of documents and, below them, their languages, rated by their share in percent: relevant ones are replaced by their relevant children."""
+    n = written(table(spark, d, "documents").filter("source is not null").groupBy("source", F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count(F.lit(1)).alias("n")))
+    total = F.broadcast(n.agg(F.sum("n").alias("s")))
+    top = n.groupBy(F.col("source").alias("community")).agg(F.sum("n").alias("n")).withColumns({"parent": F.lit(None).cast("string"), "level": F.lit(0)})
+    low = n.select(F.concat("source", F.lit("/"), "lang").alias("community"), "n", F.col("source").alias("parent"), F.lit(1).alias("level"))
+    t = top.unionByName(low).join(total).select("community", "parent", "level", F.expr("n * 100 div s").alias("rating"))
+    return X.selected_communities(written(t), "rating", 3)
 
 
 @query("""WITH r AS (SELECT source AS community, doc_id AS item, n_chars AS rank, n_chars // 4 AS cost FROM documents WHERE source IS NOT NULL), t AS (SELECT community, sum(cost) AS cost FROM r GROUP BY community),
@@ -131,7 +136,9 @@ def parse_repaired_json(spark: SparkSession, d: str) -> DataFrame:
     return r.select("result_id", parsing.strict_json("assessment_plan_raw").isNotNull().alias("strict"), parsing.lenient_json("assessment_plan_raw").isNotNull().alias("repaired"))
 
 
-@query()
+@query(rf"""WITH u AS (SELECT doc_id, {UNESCAPED} AS u FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, unnest(regexp_extract_all(u, '[A-Z][a-z0-9]+(?:[ -][A-Z]?[a-z0-9]+)?(?:-[a-z]+)*|[a-z]+-[a-z]+(?:-[a-z]+)*')) AS p FROM u), w AS (SELECT doc_id, p, string_split_regex(p, '[ -]') AS w FROM p),
+    f AS (SELECT DISTINCT doc_id, upper(p) AS title FROM w WHERE (len(w) > 1 OR regexp_matches(p, '^[A-Z]')) AND len(list_filter(w, lambda x: x = '' OR length(x) > 15)) = 0) SELECT title, count(*) AS frequency FROM f GROUP BY title""")
 def text_noun_phrases(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(parsing.phrases("text")).alias("title"))
     return p.groupBy("title").agg(F.count(F.lit(1)).alias("frequency"))
