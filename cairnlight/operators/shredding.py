@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,18 @@ from cairnlight.session import spread, written
 NODE_SCHEMA = (
     "record bigint, root string, node int, parent int, depth int, label string, ordinal int, kind string, scalar string"
 )
+ARROW = pa.schema(
+    [(c, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]) for c, kind in (x.split() for x in NODE_SCHEMA.split(", "))]
+)
+
+
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    """Node columns as one batch. Half a surrogate pair can be written in JSON but isn't a character: it becomes a question mark."""
+    try:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW)
+    except UnicodeEncodeError:
+        whole = [[x.encode("utf-8", "replace").decode() if isinstance(x, str) else x for x in c] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(whole, ARROW)], schema=ARROW)
 
 
 def _kind(value: object) -> str:
@@ -39,8 +51,8 @@ def _decoded(value: object) -> object:
     return value
 
 
-def shred_value(value: object, skip: frozenset[str], decode: frozenset[str]) -> list[tuple]:
-    """(node, parent, depth, label, ordinal, kind, scalar) of one document in pre-order; node 0 is the root."""
+def shred_value(value: object, skip: frozenset[str | tuple[int, str]], decode: frozenset[str]) -> list[tuple]:
+    """(node, parent, depth, label, ordinal, kind, scalar) of one document in pre-order; node 0 is the root. skip: keys, or (depth, key) for keys of one depth."""
     out: list[tuple] = []
     stack = [(_decoded(value), -1, 0, None, 0)]
     while stack:
@@ -50,11 +62,11 @@ def shred_value(value: object, skip: frozenset[str], decode: frozenset[str]) ->
         if kind == "string":
             scalar = item
         elif kind in ("number", "boolean"):
-            scalar = json.dumps(item)
+            scalar = str(item) if type(item) is int else json.dumps(item)
         node = len(out)
         out.append((node, parent, depth, label, ordinal, kind, scalar))
         if kind == "object":
-            children = [(k, v) for k, v in item.items() if k not in skip]
+            children = [(k, v) for k, v in item.items() if k not in skip and (depth + 1, k) not in skip]
             for i in range(len(children) - 1, -1, -1):
                 k, v = children[i]
                 stack.append((_decoded(v) if k in decode else v, node, depth + 1, k, i))
@@ -65,33 +77,36 @@ def shred_value(value: object, skip: frozenset[str], decode: frozenset[str]) ->
 
 
 def shred(
-    df: DataFrame, record: str, fields: list[str], skip: tuple[str, ...] = (), decode: tuple[str, ...] = ()
+    df: DataFrame, record: str, fields: list[str], skip: tuple[str | tuple[str, int, str], ...] = (), decode: tuple[str, ...] = ()
 ) -> DataFrame:
     """Adjacency table of the JSON text columns fields of df: one row for each JSON value.
 
     record names a unique bigint column; root is the field; node numbers are unique per record
     and field, the root has node 0 and parent -1; label is the key in an object, ordinal the
     0-based place among the siblings; scalar holds strings, numbers and booleans as text.
-    skip: object keys whose subtrees aren't wanted (pruned while parsing). decode: keys whose
+    skip: object keys whose subtrees aren't wanted (pruned while parsing), or (root, depth, key) for
+    keys of one depth of one field: where keys are names, any key may be a name. decode: keys whose
     value may be JSON written as text; the root may always be. Null, empty and unparseable
     texts give no rows; duplicate keys keep the last value; a null record is kept as null.
     """
-    skipped, decoded = frozenset(skip), frozenset(decode)
+    anywhere, decoded = {x for x in skip if isinstance(x, str)}, frozenset(decode)
+    skipped = {f: frozenset(anywhere | {x[1:] for x in skip if not isinstance(x, str) and x[0] == f}) for f in fields}
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["record", "root", "node", "parent", "depth", "label", "ordinal", "kind", "scalar"]
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for key, root, text in zip(batch["record"], batch["root"], batch["text"]):
+            columns: list[list] = [[] for _ in ARROW]
+            for key, root, text in zip(*(batch.column(c).to_pylist() for c in ("record", "root", "text"))):
                 try:
                     value = json.loads(text)
                 except (ValueError, RecursionError):
                     continue
-                rows += [(key, root, *x) for x in shred_value(value, skipped, decoded)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+                nodes = shred_value(value, skipped[root], decoded)
+                for column, values in zip(columns, ([key] * len(nodes), [root] * len(nodes), *zip(*nodes))):
+                    column.extend(values)
+                if len(columns[0]) > 50_000:
+                    yield _batch(columns)
+                    columns = [[] for _ in ARROW]
+            yield _batch(columns)
 
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("root"), F.col(f).alias("text")) for f in fields]))
     texts = (
@@ -99,7 +114,7 @@ def shred(
         .select("record", "x.root", "x.text")
         .filter(F.col("text").isNotNull() & (F.trim("text") != ""))
     )
-    return spread(texts).mapInPandas(parts, NODE_SCHEMA)
+    return spread(texts).mapInArrow(parts, NODE_SCHEMA)
 
 
 def children(parents: DataFrame, nodes: DataFrame, prefix: str) -> DataFrame:
@@ -129,30 +144,34 @@ def _rank(explicit: Column | None = None) -> Column:
 
 
 class ResultTables:
-    """Flat, linked tables of a results table with the columns result_id, predictions, evaluation and variants.
+    """Flat, linked tables of a results table with the columns result_id, predictions, evaluation and variants, and those of OWN that it has.
 
     variants: one row per variant; outputs: per model slot (for rows without variants one slot with
-    empty variant and model); predictions: per ranked prediction; plan_items; scores; judge_scores: the single judges' scores of a metric. Every row carries
+    empty variant and model); predictions: per ranked prediction; plan_items; scores; judge_scores: the single judges' scores of a metric;
+    prompts; answers: the raw answer of a slot; responses: per model call with its usage; components: what a variant or a row was set up with; keywords of a component. Every row carries
     record, root and the node numbers of itself and its parent. The slot of a row without variants is an
-    object of the row's own columns (status and error, where there are such, predictions, evaluation) with
+    object of the row's own columns with
     the root "row", so that all it holds links to it. A row with variants that has predictions or an
-    evaluation besides has such a slot too. scores=False leaves evaluations out while parsing.
+    evaluation besides has such a slot too. A row's own components have the root "components", since rows with variants have them too.
+    nodes is the adjacency table of all of it, extra keys included. scores=False leaves the evaluations of slots out while parsing, for callers that want no scores.
     """
 
-    DECODE = ("variants", "predictions", "evaluation", "plan", "assessment_plans")
+    OWN = ("status", "error", "assessment_plan_prompts", "assessment_plan_raw", "model_responses")
+    DECODE = ("variants", "predictions", "evaluation", "plan", "assessment_plans", "assessment_plan_prompts", "model_responses", "components")
 
     def __init__(self, results: DataFrame, scores: bool = True, id_column: str = "result_id"):
-        skip = ("components", "assessment_plan_prompts", "assessment_plan_raw", "model_responses")
         self.results, self.id, self.with_scores = results, id_column, scores
         own = ["predictions"] + (["evaluation"] if scores else [])
         given = F.lit(False)
         for c in ("predictions", "evaluation"):
             given = given | (F.trim(F.coalesce(c, F.lit(""))) != "")
         none = F.trim(F.coalesce("variants", F.lit(""))) == ""
-        row = F.to_json(F.struct(*[c for c in ("status", "error") if c in results.columns], *own))
-        rows = results.select(id_column, "variants", F.when(none | given, row).alias("row"))
-        shredded = shred(rows, id_column, ["variants", "row"], skip + (() if scores else ("evaluation",)), self.DECODE)
-        self.nodes = written(shredded)  # read by several joins; parsing it once is far cheaper
+        row = F.to_json(F.struct(*[c for c in self.OWN if c in results.columns], *own))
+        fields = ["variants", "row"] + (["components"] if "components" in results.columns else [])
+        rows = results.select(id_column, F.when(none | given, row).alias("row"), *[f for f in fields if f != "row"])
+        # Pruned at its depth only: a variant, a model or a metric may have any name.
+        skip = () if scores else (("variants", 4, "evaluation"),)
+        self.nodes = written(shred(rows, id_column, fields, skip, self.DECODE))  # read by several joins; parsing it once is far cheaper
 
     def variants(self) -> DataFrame:
         """record, root, node, variant, ordinal of each variant object."""
@@ -237,3 +256,52 @@ class ResultTables:
         runs = children(lists, n.filter("kind = 'object'"), "_runs").withColumn("ordinal", F.col("_c.ordinal")).drop("_c", "_runs")
         runs = runs.select("record", "root", "node", "score_node", "variant", "model", "rank", "part", "metric", "ordinal")
         return entity(runs, n, {"judge": "judge", "score": "_score"}).withColumn("score", F.expr("try_cast(_score as double)")).drop("_score")
+
+    def prompts(self) -> DataFrame:
+        """Prompts: record, root, node, owner_node (the variant, or the slot of a row), variant, system, user (also of a prompt that is one text)."""
+        n, label = self.nodes, "label = 'assessment_plan_prompts' and kind != 'null'"
+        variants = self.variants().drop("ordinal")
+        rows = n.filter("root = 'row' and depth = 0").select("record", "root", "node", F.lit("").alias("variant"))
+        held = children(variants.unionByName(rows), n.filter(f"depth = if(root = 'row', 1, 2) and {label}"), "owner_node")
+        held = entity(held.withColumn("_text", F.col("_c.scalar")).drop("_c"), n, {"system": "system", "user": "user"})
+        return held.withColumn("user", F.coalesce("user", "_text")).drop("_text")
+
+    def answers(self) -> DataFrame:
+        """Raw answers of the slots: record, root, node, slot_node, variant, model, raw (null where there is none). A JSON object written as text stays that text."""
+        held = children(self._slots().drop("variant_node"), self.nodes.filter("depth = if(root = 'row', 1, 4) and label = 'assessment_plan_raw'"), "slot_node")
+        return held.select("record", "root", "node", "slot_node", "variant", "model", F.col("_c.scalar").alias("raw"))
+
+    def responses(self) -> DataFrame:
+        """Model calls of the slots: record, root, node, slot_node, variant, model, step (the key where calls are grouped by what they were for, else empty), ordinal,
+        reported_model, response_id, request_id, prompt_tokens, completion_tokens, total_tokens, cached_tokens (null where the count is missing)."""
+        n = self.nodes
+        held = children(self._slots().drop("variant_node"), n.filter("depth = if(root = 'row', 1, 4) and label = 'model_responses'"), "slot_node")
+        keys = ["record", "root", "node", "slot_node", "variant", "model"]
+        flat = held.filter("_c.kind = 'array'").select(*keys, F.lit("").alias("step"))
+        groups = children(held.filter("_c.kind = 'object'").drop("_c"), n.filter("kind = 'array'"), "_all").select(*keys, F.col("_c.label").alias("step"))
+        calls = children(flat.unionByName(groups), n.filter("kind = 'object'"), "_list").select(*keys, "step", F.col("_c.ordinal").alias("ordinal"))
+        calls = entity(calls, n, {k: k for k in ("reported_model", "response_id", "request_id")})
+        counts = ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens")
+        usage = n.filter("label = 'token_usage' and kind = 'object'").select("record", "root", "node", F.col("parent").alias("_call"))
+        usage = entity(usage, n, {k: k for k in counts}).drop("node").withColumnRenamed("_call", "node")
+        return calls.join(usage, ["record", "root", "node"], "left").withColumns({k: F.expr(f"try_cast({k} as bigint)") for k in counts})
+
+    def components(self) -> DataFrame:
+        """Components of a variant, or of the row itself (empty variant): record, root, node, owner_node (the variant; null for those of the row), variant, name, component, status, top_k."""
+        n = self.nodes
+        held = children(self.variants().drop("ordinal"), n.filter("depth = 2 and label = 'components' and kind = 'object'"), "owner_node").drop("_c")
+        rows = n.filter("root = 'components' and depth = 0").select("record", "root", "node", F.lit("").alias("variant"), F.lit(None).cast("int").alias("owner_node"))
+        each = children(held.unionByName(rows), n.filter("kind = 'object'"), "_components").withColumn("name", F.col("_c.label")).drop("_c", "_components")
+        each = entity(each, n, {"component": "component", "status": "status"})
+        settings = n.filter("label = 'settings' and kind = 'object'").select("record", "root", "node", F.col("parent").alias("_owner"))
+        settings = entity(settings, n, {"top_k": "top_k"}).drop("node").withColumnRenamed("_owner", "node")
+        return each.join(settings, ["record", "root", "node"], "left").withColumn("top_k", F.expr("try_cast(top_k as bigint)"))
+
+    def keywords(self) -> DataFrame:
+        """Retrieval keywords of the components: record, root, node, component_node, variant, name, ordinal, keyword."""
+        n = self.nodes
+        owners = self.components().select("record", "root", "node", "variant", "name")
+        captures = children(owners, n.filter("label = 'capture' and kind = 'object'"), "component_node").drop("_c")
+        lists = children(captures, n.filter("label = 'retrieval_keywords' and kind = 'array'"), "_capture").drop("_c", "_capture")
+        words = children(lists, n.filter("kind in ('string', 'number', 'boolean')"), "_list")
+        return words.select("record", "root", "node", "component_node", "variant", "name", F.col("_c.ordinal").alias("ordinal"), F.col("_c.scalar").alias("keyword"))

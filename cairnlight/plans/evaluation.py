@@ -339,6 +339,51 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: The variants with their JSON, and the slots with the fields of the row that SLOTS doesn't need.
+OBJECT_OF = JSON_OF.format("CASE WHEN json_valid({0}) THEN CAST({0} AS JSON) END")
+HELD = rf"""va AS (SELECT result_id, variant, json_extract(v, '$."' || variant || '"') AS x FROM vk),
+    none AS (SELECT * FROM results WHERE trim(coalesce(variants, '')) = '' OR trim(coalesce(predictions, '')) <> '' OR trim(coalesce(evaluation, '')) <> ''),
+    ns AS (SELECT result_id, variant, model, json_extract(plans, '$."' || model || '"') AS slot FROM pk)"""
+
+
+@query(f"""WITH {SLOTS}, {HELD}, o AS (SELECT result_id, variant, json_extract(x, '$.assessment_plan_prompts') AS p FROM va UNION ALL SELECT result_id, '', {OBJECT_OF.format("assessment_plan_prompts")} FROM none)
+    SELECT result_id AS record, variant, json_extract_string(p, '$.system') AS system, json_extract_string(p, '$.user') AS user FROM o WHERE json_type(p) = 'OBJECT'""")
+def p5_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d).prompts().select("record", "variant", "system", "user")
+
+
+@query(f"""WITH {SLOTS}, {HELD} SELECT result_id AS record, variant, model, json_extract_string(slot, '$.assessment_plan_raw') AS raw FROM ns WHERE json_exists(slot, '$.assessment_plan_raw')
+    UNION ALL SELECT result_id, '', '', assessment_plan_raw FROM none WHERE assessment_plan_raw IS NOT NULL""")
+def p5_answers(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d).answers().select("record", "variant", "model", "raw")
+
+
+@query(f"""WITH {SLOTS}, {HELD}, r AS (SELECT result_id, variant, model, json_extract(slot, '$.model_responses') AS x FROM ns UNION ALL SELECT result_id, '', '', {OBJECT_OF.format("model_responses")} FROM none),
+    l AS (SELECT result_id, variant, model, '' AS step, x FROM r WHERE json_type(x) = 'ARRAY' UNION ALL SELECT result_id, variant, model, k, json_extract(x, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(x)) AS k FROM r WHERE json_type(x) = 'OBJECT')),
+    c AS (SELECT *, i - 1 AS ordinal, json_extract(x, '$[' || (i - 1) || ']') AS e FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(x) AS BIGINT))) AS i FROM l WHERE json_type(x) = 'ARRAY'))
+    SELECT result_id AS record, variant, model, step, CAST(ordinal AS INTEGER) AS ordinal, {', '.join(f"json_extract_string(e, '$.{k}') AS {k}" for k in ("reported_model", "response_id", "request_id"))},
+    {', '.join(f"try_cast(json_extract_string(e, '$.token_usage.{k}') AS BIGINT) AS {k}" for k in ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens"))} FROM c WHERE json_type(e) = 'OBJECT'""")
+def p5_responses(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d).responses().drop("root", "node", "slot_node")
+
+
+COMPONENTS = f"""co AS (SELECT result_id, variant, json_extract(x, '$.components') AS c FROM va UNION ALL SELECT result_id, '', {OBJECT_OF.format("components")} FROM results),
+    ce AS (SELECT result_id, variant, name, json_extract(c, '$."' || name || '"') AS e FROM (SELECT *, unnest(json_keys(c)) AS name FROM co WHERE json_type(c) = 'OBJECT'))"""
+
+
+@query(f"""WITH {SLOTS}, {HELD}, {COMPONENTS} SELECT result_id AS record, variant, name, json_extract_string(e, '$.component') AS component, json_extract_string(e, '$.status') AS status,
+    try_cast(json_extract_string(e, '$.settings.top_k') AS BIGINT) AS top_k FROM ce WHERE json_type(e) = 'OBJECT'""")
+def p5_components(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d).components().drop("root", "node", "owner_node")
+
+
+@query(f"""WITH {SLOTS}, {HELD}, {COMPONENTS}, k AS (SELECT result_id, variant, name, json_extract(e, '$.capture.retrieval_keywords') AS x FROM ce),
+    w AS (SELECT *, json_extract(x, '$[' || (i - 1) || ']') AS word FROM (SELECT *, unnest(generate_series(1, CAST(json_array_length(x) AS BIGINT))) AS i FROM k WHERE json_type(x) = 'ARRAY'))
+    SELECT result_id AS record, variant, name, CAST(i - 1 AS INTEGER) AS ordinal, word ->> '$' AS keyword FROM w WHERE json_type(word) NOT IN ('OBJECT', 'ARRAY', 'NULL')""")
+def p5_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d).keywords().drop("root", "node", "component_node")
+
+
 @query(r"""WITH slots AS (
         SELECT result_id, '' AS variant, '' AS model, CAST(predictions AS JSON) AS p FROM results WHERE variants IS NULL AND predictions IS NOT NULL
         UNION ALL SELECT result_id, variant, model, json_extract(plans, '$."' || model || '".predictions') FROM (
@@ -355,7 +400,7 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
         UNION ALL SELECT result_id, variant, model, rank, 1, plan FROM ranked WHERE json_type(plan) = 'VARCHAR')
     SELECT DISTINCT result_id, variant, model, CAST(rank AS INTEGER) AS rank, CAST(step AS INTEGER) AS step FROM items WHERE json_type(item) <> 'NULL'""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    items = ResultTables(table(spark, d, "results"), scores=False).plan_items()
+    items = _tables(spark, d).plan_items()
     return items.selectExpr("record as result_id", "variant", "model", "rank", "step").distinct()
 
 

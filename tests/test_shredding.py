@@ -71,3 +71,37 @@ def test_empty_and_null(spark):
 @pytest.mark.parametrize("text", ["{", "nul", "[" * 5000])
 def test_unreadable_texts_give_no_rows(spark, text):
     assert shred(rows(spark, (1, text, None, None)), "result_id", ["predictions"]).count() == 0
+
+
+def test_nothing_of_a_slot_is_left_out(spark):
+    """Prompts, raw answers, model calls and components come out, and a variant, model or metric may be named like one of them."""
+    call = {"reported_model": "x", "response_id": "r", "token_usage": {"total_tokens": 7}}
+    made = {"guide": {"component": "g", "status": "on", "settings": {"top_k": 3}, "capture": {"retrieval_keywords": ["a", None, "b"]}}}
+    slot = {"predictions": [{"condition": "a", "plan": ["p"]}], "assessment_plan_raw": "{\"said\": 1}", "model_responses": [call], "evaluation": [{"condition": {"metrics": {"components": {"value": 2}}}}]}
+    nested = {"components": {"components": made, "assessment_plan_prompts": {"system": None, "user": "u"}, "assessment_plans": {"evaluation": slot, "model_responses": slot}}}
+    given = [
+        (1, json.dumps(nested), None, None, json.dumps(made), None, None, None),
+        (2, None, None, None, None, json.dumps({"system": "s", "user": "w"}), "raw", json.dumps({"first": [call, call]})),
+    ]
+    df = spark.createDataFrame(given, "result_id bigint, variants string, predictions string, evaluation string, components string, assessment_plan_prompts string, assessment_plan_raw string, model_responses string")
+    t = ResultTables(df)
+    slots = [(1, "components", "evaluation"), (1, "components", "model_responses")]
+    assert items(df) == [(*s, 1, 1, "p") for s in slots]
+    assert sorted((r.record, r.variant, r.model, r.metric, r.value) for r in t.scores().collect()) == [(*s, "components", 2.0) for s in slots]
+    outputs = {(r.record, r.root, r.node) for r in t.outputs().collect()}
+    answers, calls = t.answers().collect(), t.responses().collect()
+    assert sorted((r.record, r.variant, r.model, r.raw) for r in answers) == [(*s, "{\"said\": 1}") for s in slots] + [(2, "", "", "raw")]
+    assert sorted((r.record, r.variant, r.model, r.step, r.ordinal, r.response_id, r.total_tokens) for r in calls) == [(*s, "", 0, "r", 7) for s in slots] + [(2, "", "", "first", i, "r", 7) for i in (0, 1)]
+    assert {(r.record, r.root, r.slot_node) for r in answers + calls} == outputs
+    assert sorted((r.record, r.variant, r.system, r.user) for r in t.prompts().collect()) == [(1, "components", None, "u"), (2, "", "s", "w")]
+    components = t.components().collect()
+    assert sorted((r.variant, r.owner_node is None, r.name, r.component, r.status, r.top_k) for r in components) == [("", True, "guide", "g", "on", 3), ("components", False, "guide", "g", "on", 3)]
+    words = t.keywords().collect()
+    assert sorted((r.variant, r.ordinal, r.keyword) for r in words) == [(v, *x) for v in ("", "components") for x in ((0, "a"), (2, "b"))]
+    assert {(r.root, r.component_node) for r in words} == {(r.root, r.node) for r in components}
+
+
+def test_half_a_surrogate_pair_stops_nothing(spark):
+    text = '{"a": "x\\ud83d", "b": 1.5, "c": true, "d": null}'
+    got = {r.label: r.scalar for r in shred(rows(spark, (1, text, None, None)), "result_id", ["predictions"]).filter("depth = 1").collect()}
+    assert got == {"a": "x?", "b": "1.5", "c": "true", "d": None}
