@@ -220,3 +220,25 @@ def test_a_third_of_copies(spark):
     got = {(r.query_id, r.stored_id) for r in cross_split_overlaps(q, s).collect()}
     assert {(f"q{i}", f"s{j}") for i in range(0, 60, 3) for j in range(1, 60, 3)} <= got
     assert got == brute([(r.id, r.text) for r in q.collect()], [(r.id, r.text) for r in s.collect()])
+
+
+def test_copies_and_hot_bands_dont_grow_the_shuffle(spark, monkeypatch):
+    """Copies under other ids send no more than one text of each kind, and the lists of a band are sent to few parts however much there is to visit."""
+    rng = random.Random(6)
+    known = [f"w{i}" for i in range(60)]
+    texts = make_texts(rng, 60, known)
+    sent, split = [], type(spark.range(1)).repartitionById
+
+    def counted(self, number, *columns):
+        sent.append((number, sum(len(r.terms) for r in self.select("terms").collect())))
+        return split(self, number, *columns)
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionById", counted)
+    found = []
+    for copies in (1, 8):
+        named = spark.createDataFrame([(f"{k}_{i}", t) for k in range(copies) for i, t in enumerate(texts)], "id string, text string")
+        v = vectors(named, "id", "text", 3, 0)
+        found.append({tuple(r) for r in cosine_join(v, v, 0.5, 4, 1)[0].collect()})
+    assert found[0] == found[1]
+    assert all(n <= 4 + 2 * spark.sparkContext.defaultParallelism for n, _ in sent)
+    assert sent[1][1] <= 1.2 * sent[0][1]
